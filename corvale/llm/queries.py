@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from corvale.llm import exact_dedup, simhash
+from corvale.llm import bpe, exact_dedup, lattice, packing, quality, sharding, simhash, toxicity
 
 
 def queries():
     return {
+        "op2_quality_discriminant": quality.query,
+        "op3_toxicity_convolution": toxicity.query,
+        "op4_lattice_dedup": lattice.query,
         "op5_simhash": simhash.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op7_byte_bpe": bpe.query,
+        "op8_best_fit_packing": packing.query,
+        "op9_hash_tree_sharding": sharding.query,
     }
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op4_lattice_dedup": lattice.SQL, "op6_exact_dedup": exact_dedup.SQL}
