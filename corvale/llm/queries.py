@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corvale.llm import bpe, exact_dedup, lattice, packing, quality, sharding, simhash, toxicity
+from corvale.llm import backoff, bpe, exact_dedup, lattice, licenses, packing, quality, sharding, simhash, toxicity
 
 
 def queries():
     return {
+        "op1_license_scan": licenses.query,
         "op2_quality_discriminant": quality.query,
         "op3_toxicity_convolution": toxicity.query,
         "op4_lattice_dedup": lattice.query,
@@ -15,6 +16,7 @@ def queries():
         "op7_byte_bpe": bpe.query,
         "op8_best_fit_packing": packing.query,
         "op9_hash_tree_sharding": sharding.query,
+        "op10_backoff_automaton": backoff.query,
     }
 
 
