@@ -14,8 +14,9 @@ blocks of bounded bytes by a hash of doc_id. A block lists its different words a
 as 64-bit hashes with its own training counts (so frequent ones are summed before any
 shuffle), sorted and cut into key ranges; a range sums the counts of all blocks and answers
 each block in its own order. With these answers a block has the part of the automaton that
-its texts can reach, and scores them exactly. Blocks and ranges are numbered in proportion
-to the bytes of text.
+its texts can reach; it is written as token numbers with their totals, from which the
+shares are fitted and the texts scored exactly without reading words again. Blocks and
+ranges are numbered in proportion to the bytes of text.
 
 Edge cases: a null, empty or blank text has the end token alone. Texts are taken whole.
 Repeated rows are trained on and scored each. A null doc_id is no training row, so
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -39,9 +41,9 @@ from corvale.llm.common import held_out, offsets_of, table, written
 
 FOLDS, OUT_FOLD = 5, 1
 #: Text bytes of a block and of a key range, on average.
-BLOCK_BYTES = 12 << 20
-RANGE_BYTES = 24 << 20
-PACK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
+RANGE_BYTES = 16 << 20
+PACK_BYTES = 12 << 20
 #: Candidate shares of the root, for each size class of a history.
 GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 CLASSES = 64
@@ -49,17 +51,18 @@ CLASSES = 64
 NO_ID = -(1 << 63)
 
 PACK = "block int, ids binary, lengths binary, train binary, text binary"
-JOINED = f"{PACK}, words binary, pairs binary, vocabulary long, tokens long"
+JOINED = "block int, ids binary, train binary, lengths binary, token binary, words binary, seen binary, vocabulary long, tokens long"
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes: high bytes of small numbers cost nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+def _squeeze(values: np.ndarray, width: int = 8) -> bytes:
+    """Unsigned integers of some bytes as compressed byte planes: high bytes of small numbers cost nothing."""
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unsqueeze(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+def _unsqueeze(blob: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}")
 
 
 def _squeeze_sorted(keys: np.ndarray) -> bytes:
@@ -92,6 +95,14 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
 
 
+def _before(token: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """The token before each, or the start mark at a text's beginning."""
+    out = np.empty_like(token)
+    out[1:] = token[:-1]
+    out[starts[:-1]] = start
+    return out
+
+
 class Block:
     """The token arrays of a block's texts: different words and bigrams, and where they stand."""
 
@@ -99,26 +110,24 @@ class Block:
         split = [t.lower().split() for t in texts]  # for bytes: A-Z only, ASCII blanks only
         words = np.array([len(s) for s in split], dtype=np.int64)
         flat = list(chain.from_iterable(split))
+        del split
         number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         end, start = len(number), len(number) + 1  # no word is empty or a blank, so these hash apart
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in (*number, b"", b" ")], dtype=np.uint64)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in (*number, b"", b" ")], dtype=np.uint64)
         self.lengths = words + 1
-        self.starts = offsets_of(self.lengths)
-        self.token = np.full(int(self.starts[-1]), end, dtype=np.int64)
+        starts = offsets_of(self.lengths)
+        self.token = np.full(int(starts[-1]), end, dtype=np.int64)
         is_word = np.ones(len(self.token), dtype=bool)
-        is_word[self.starts[1:] - 1] = False
+        is_word[starts[1:] - 1] = False
         self.token[is_word] = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        self.before = np.empty_like(self.token)
-        self.before[1:] = self.token[:-1]
-        self.before[self.starts[:-1]] = start
-        self.end, self.start = end, start
+        del flat, number
         self.train = np.repeat(train, self.lengths)
-        codes, self.pair = np.unique(self.before * (start + 1) + self.token, return_inverse=True)
-        left, right = self.hashes[codes // (start + 1)], self.hashes[codes % (start + 1)]
+        self.pair, codes = pd.factorize(_before(self.token, starts, start) * (start + 1) + self.token)
+        left, right = hashes[codes // (start + 1)], hashes[codes % (start + 1)]
         mixed = (left ^ (left >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + right
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         self.pair_keys = mixed ^ (mixed >> np.uint64(32))
-        self.word_keys = self.hashes[: end + 1]
+        self.word_keys = hashes[: end + 1]
         self.word_order, self.pair_order = (np.argsort(k, kind="stable") for k in (self.word_keys, self.pair_keys))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +139,10 @@ class Block:
         )
 
     def placed(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Totals that came in order of the keys, by word and bigram number."""
-        w, p = np.empty(len(words)), np.empty(len(pairs))
+        """Totals that came in order of the keys: of each word by its number, of each position's bigram."""
+        w, p = np.empty(len(words), dtype=np.uint64), np.empty(len(pairs), dtype=np.uint64)
         w[self.word_order], p[self.pair_order] = words, pairs
-        return w, p
+        return w, p[self.pair]
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -197,7 +206,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     for kind in ("word", "pair"):
         keys = [np.zeros(0, dtype=np.uint64) if k is None else _unsqueeze_sorted(k) for k in rows[f"{kind}_keys"].to_pylist()]
         counts = [np.zeros(0, dtype=np.uint64) if c is None else _unsqueeze(c) for c in rows[f"{kind}_counts"].to_pylist()]
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        which, _ = pd.factorize(np.concatenate(keys))
         total = np.bincount(which, weights=np.concatenate(counts).astype(np.float64)).astype(np.uint64)
         if kind == "word":
             vocabulary, tokens = int((total > 0).sum()), int(total.sum())
@@ -208,15 +217,26 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def _joining(packs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Cogroup function: a block's texts beside the totals of its words and bigrams, as one row."""
+    """Cogroup function: a block's texts as token numbers, beside the totals of its words and bigrams, as one row."""
     if not packs.num_rows:
         return _table([], JOINED)
     ids, train, texts = _unpack(packs)
-    order = np.argsort(ids, kind="stable")
+    block = Block(texts, train)
     answers = answers.sort_by("part")
-    totals = [_squeeze(np.concatenate([_unsqueeze(a) for a in answers[c].to_pylist() if a is not None])) for c in ("words", "pairs")]
-    pack = _pack(packs["block"][0].as_py(), ids[order], train[order], [texts[i] for i in order])
-    return _table([(*pack, *totals, sum(answers["vocabulary"].to_pylist()), sum(answers["tokens"].to_pylist()))], JOINED)
+    totals = [np.concatenate([_unsqueeze(a) for a in answers[c].to_pylist() if a is not None]) for c in ("words", "pairs")]
+    words, seen = block.placed(*totals)
+    row = (
+        packs["block"][0].as_py(),
+        ids.astype("<i8").tobytes(),
+        train.astype(np.uint8).tobytes(),
+        block.lengths.astype("<i8").tobytes(),
+        _squeeze(block.token, 4),
+        _squeeze(words),
+        _squeeze(seen),
+        sum(answers["vocabulary"].to_pylist()),
+        sum(answers["tokens"].to_pylist()),
+    )
+    return _table([row], JOINED)
 
 
 def _size_class(history: np.ndarray) -> np.ndarray:
@@ -225,46 +245,51 @@ def _size_class(history: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """The part of the backoff automaton that a block's texts can reach."""
+    """The part of the backoff automaton that a block's texts can reach.
+
+    lengths: tokens of each text; token: word number of each position, the last number being the end; words: total of
+    each word; seen: total of the bigram at each position."""
 
-    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, tokens: int, vocabulary: int):
-        self.block = block
-        self.words, self.pairs = block.placed(words, pairs)
+    def __init__(self, lengths: np.ndarray, token: np.ndarray, words: np.ndarray, seen: np.ndarray, tokens: int, vocabulary: int):
+        self.lengths, self.token = lengths, token.astype(np.int64)
+        self.words, self.seen = words.astype(np.float64), seen.astype(np.float64)
         self.norm = tokens + 0.5 * (vocabulary + 1)
-        self.states = np.append(self.words, self.words[block.end])  # a state per word, and the start: one for each training text
-        self.states[block.end] = 0  # nothing follows an end
+        self.starts = offsets_of(lengths)
+        self.before = _before(self.token, self.starts, len(words))
+        self.states = np.append(self.words, self.words[-1])  # a state per word, and the start: met once in each training text
+        self.states[-2] = 0  # nothing follows an end
 
     def traverse(self, shares: np.ndarray) -> np.ndarray:
         """log10 probability of each text; shares: the root's share by size class."""
-        block = self.block
         root = np.log10((self.words + 0.5) / self.norm)
         share = np.where(self.states > 0, shares[_size_class(self.states)], 1.0)
         failure = np.log10(share)
-        state, word, seen = block.before, block.token, self.pairs[block.pair]
-        arc = np.log10(np.maximum((1 - share[state]) * seen / np.maximum(self.states[state], 1) + share[state] * (self.words[word] + 0.5) / self.norm, 1e-300))
-        return np.add.reduceat(np.where(seen > 0, arc, failure[state] + root[word]), block.starts[:-1])
+        gain = (1 - share) / np.maximum(self.states, 1)
+        out = failure[self.before] + root[self.token]
+        known = np.flatnonzero(self.seen)
+        state, word = self.before[known], self.token[known]
+        out[known] = np.log10(gain[state] * self.seen[known] + share[state] * (self.words[word] + 0.5) / self.norm)
+        return np.add.reduceat(out, self.starts[:-1])
 
     def base(self) -> tuple[np.ndarray, np.ndarray]:
         """(unigram log10 probability, known tokens) of each text."""
-        block = self.block
         root = np.log10((self.words + 0.5) / self.norm)
-        return np.add.reduceat(root[block.token], block.starts[:-1]), np.add.reduceat((self.words > 0)[block.token].astype(np.int64), block.starts[:-1])
+        return np.add.reduceat(root[self.token], self.starts[:-1]), np.add.reduceat((self.words > 0)[self.token].astype(np.int64), self.starts[:-1])
 
-    def leave_one_out(self) -> np.ndarray:
-        """(size classes × grid) log-likelihood of the block's training tokens, each without itself."""
-        block = self.block
-        some = np.flatnonzero(block.train)
-        history, pair, word = self.states[block.before[some]], self.pairs[block.pair[some]] - 1, self.words[block.token[some]] - 1
+    def leave_one_out(self, train: np.ndarray) -> np.ndarray:
+        """(size classes × grid) log-likelihood of the training texts' tokens, each without itself."""
+        some = np.flatnonzero(np.repeat(train, self.lengths))
+        history = self.states[self.before[some]]
         sizes = _size_class(history)
-        seen, root = pair / np.maximum(history - 1, 1), (word + 0.5) / (self.norm - 1)
+        seen, root = (self.seen[some] - 1) / np.maximum(history - 1, 1), (self.words[self.token[some]] - 0.5) / (self.norm - 1)
         return np.stack([np.bincount(sizes, weights=np.log10((1 - g) * seen + g * root), minlength=CLASSES) for g in GRID], axis=1)
 
 
-def _automata(rows: pa.Table, tokens: int, vocabulary: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, Automaton]]:
-    for i in range(rows.num_rows):
-        one = rows.slice(i, 1)
-        ids, train, texts = _unpack(one)
-        yield one["block"][0].as_py(), ids, train, Automaton(Block(texts, train), _unsqueeze(one["words"][0].as_py()), _unsqueeze(one["pairs"][0].as_py()), tokens, vocabulary)
+def _automata(rows: pa.Table, tokens: int, vocabulary: int) -> Iterator[tuple[np.ndarray, np.ndarray, Automaton]]:
+    for one in rows.to_batches(max_chunksize=1):
+        row = {name: one[name][0].as_py() for name in one.schema.names}
+        ids, train, lengths = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["train"], dtype=np.uint8).astype(bool), np.frombuffer(row["lengths"], dtype="<i8")
+        yield ids, train, Automaton(lengths, _unsqueeze(row["token"], 4), _unsqueeze(row["words"]), _unsqueeze(row["seen"]), tokens, vocabulary)
 
 
 def joined_blocks(docs: DataFrame, train, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -292,8 +317,8 @@ def scores(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES, range_by
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, automaton in _automata(pa.Table.from_batches([batch]), tokens, vocabulary):
-                found = automaton.leave_one_out()
+            for _, train, automaton in _automata(pa.Table.from_batches([batch]), tokens, vocabulary):
+                found = automaton.leave_one_out(train)
                 yield from _table([(k, g, float(found[k, g])) for k in np.flatnonzero(found.any(1)) for g in range(len(GRID))], "size int, share int, total double").to_batches()
 
     shares = np.full(CLASSES, GRID[-1])
@@ -304,13 +329,13 @@ def scores(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES, range_by
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, train_flags, automaton in _automata(pa.Table.from_batches([batch]), tokens, vocabulary):
+            for ids, train_flags, automaton in _automata(pa.Table.from_batches([batch]), tokens, vocabulary):
                 base, known = automaton.base()
                 yield from pa.table(
                     {
                         "doc_id": pa.array(ids),
                         "train": pa.array(train_flags),
-                        "n_tokens": pa.array(automaton.block.lengths),
+                        "n_tokens": pa.array(automaton.lengths),
                         "n_known": pa.array(known),
                         "base_score": pa.array(base),
                         "score": pa.array(automaton.traverse(shares)),
