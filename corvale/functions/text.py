@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What a path's extension says about its language.
 LANGUAGES = {
@@ -45,7 +46,7 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_unicode(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, for any script (Arrow batches)."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))

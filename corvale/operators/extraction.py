@@ -143,8 +143,8 @@ def enclosing(lines_in: DataFrame, symbol_rows: DataFrame, kinds: tuple[str, ...
 
     An equi-join on path with the range as a residual; one aggregation keeps the best by (path, line)."""
     lines_in = lines_in.select("path", "line").distinct()
-    inner = symbol_rows.where(F.col("symbol_type").isin(*kinds)).select("path", F.col("id").alias("s_id"), "start_line", "end_line")
-    hits = lines_in.join(inner, (lines_in["path"] == inner["path"]) & (lines_in["line"] >= inner["start_line"]) & (lines_in["line"] <= inner["end_line"])).drop(inner["path"])
+    inner = symbol_rows.where(F.col("symbol_type").isin(*kinds)).select(F.col("path").alias("s_path"), F.col("id").alias("s_id"), "start_line", "end_line")
+    hits = lines_in.join(inner, (F.col("path") == F.col("s_path")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = hits.groupBy("path", "line").agg(F.min_by("s_id", F.struct(F.col("end_line") - F.col("start_line"), "start_line", "s_id")).alias("inner_id"))
     first = symbol_rows.where(F.col("symbol_type").isin(*type_kinds)).groupBy("path").agg(F.min_by("id", F.struct("start_line", "id")).alias("first_id"))
     return lines_in.join(best, ["path", "line"], "left").join(first, "path", "left").select("path", "line", F.coalesce("inner_id", "first_id").alias("symbol_id"))

@@ -14,7 +14,7 @@ from corvale.operators.hybrid import driver_value
 ALIAS_LIMIT = 8
 ENTITY_LIMIT = 500
 #: Folders that are no modules, and marks of test paths.
-EXCLUDED_MODULES = (".git", ".github", ".venv", "venv", "__pycache__", "node_modules", "dist", "build", "target", ".idea", ".vscode", "coverage", ".pytest_cache", ".mypy_cache", "vendor")
+EXCLUDED_MODULES = (".git", ".github", ".vscode", "docs", "doc", "test", "tests", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", "scripts")
 TEST_MARKS = ("/test/", "/tests/", "test_", "_test.", ".spec.", "/spec/")
 
 

@@ -39,13 +39,17 @@ def postings(corpus: DataFrame) -> DataFrame:
     return words.groupBy("repo_id", "id", "term", "field").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+def _is(word: str):
+    return lambda t: t == word
+
+
 def _rank(words: list[str]) -> Column:
     """The rank of a row that has its words in terms_<field> columns; null if one of the query's words is missing."""
     score, every = F.lit(0.0), F.lit(True)
     for word in words:
         found = F.lit(0)
         for field, weight in WEIGHTS.items():
-            n = F.size(F.filter(F.col(f"terms_{field}"), lambda t, word=word: t == word))
+            n = F.size(F.filter(F.col(f"terms_{field}"), _is(word)))
             score = score + F.lit(weight) * F.log2(1 + n)
             found = found + n
         every = every & (found > 0)
@@ -70,7 +74,7 @@ def search_many(index: DataFrame, queries: DataFrame, top_n: int = 50) -> DataFr
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
     hits = asked.join(index, ["repo_id", "term"]).groupBy("query_id", "id").agg(F.count_distinct("term").alias("found"), F.sum(weight[F.col("field")] * F.log2(1 + F.col("occurrences"))).alias("score"))
     full = hits.join(wanted, "query_id").where("found = wanted").drop("found", "wanted")
-    return full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top_n)
+    return full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= top_n)
 
 
 def file_document(corpus: DataFrame, repo: str, path: str, entity_type: str = "file_full") -> DataFrame:

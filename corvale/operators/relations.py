@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvale.operators import parsers
 from corvale.operators.extraction import enclosing
+from corvale.session import cut
 
 TYPES = ("class", "interface", "enum", "record")
 REFERENCE = "repo_id string, path string, language string, owner string, owner_line int, relation_type string, target_ref string, bound_ref string, line int, confidence double"
@@ -285,7 +286,9 @@ def relations(files: DataFrame, symbols: DataFrame, use_tsconfig: bool = False)
     """(semantic relations, file imports) of all languages. JavaScript sees JavaScript only, TypeScript TypeScript only.
 
     symbols: repo_id, path, language, id, symbol_name, symbol_type, start_line, end_line."""
-    refs = raw_references(files)
+    files = files.select("repo_id", "path", "language", "content")
+    refs, symbols = cut(raw_references(files)), cut(symbols)
+    present = {r["language"] for r in refs.select("language").distinct().collect()}
     base, aliases = tsconfig(files) if use_tsconfig else (None, [])
     owner = symbols.select("path", F.col("symbol_name").alias("owner"), F.col("start_line").alias("owner_line"), F.col("id").alias("source_symbol_id"))
     of = lambda *names: refs.where(F.col("language").isin(*names))
@@ -296,26 +299,30 @@ def relations(files: DataFrame, symbols: DataFrame, use_tsconfig: bool = False)
         around = enclosing(rows.select("path", "line"), syms(*names), kinds, types).withColumnRenamed("symbol_id", "source_symbol_id")
         return rows.join(around, ["path", "line"], "left")
 
-    parts = [
-        resolve_python(of("python"), symbols).join(owner, ["path", "owner", "owner_line"], "left"),
-        by_line(resolve_java(of("java"), symbols, files), (*TYPES, "method", "constructor"), TYPES, ("java",)),
-        by_line(resolve_js(of(*JS), syms(*JS), src(*JS), aliases, base), ("class", "method", "function"), ("class",), JS).drop("resolved"),
-        by_line(resolve_js(of(*TS), syms(*TS), src(*TS), aliases, base), ("class", "method", "function"), ("class",), TS).drop("resolved"),
-        by_line(resolve_kotlin(of("kotlin"), symbols, files), ("class", "interface", "enum", "method", "function", "constructor"), ("class", "interface", "enum"), ("kotlin",)),
-        by_line(resolve_swift(of("swift"), symbols, files), ("class", "struct", "enum", "protocol", "method", "function", "constructor"), ("class", "struct", "enum", "protocol"), ("swift",)),
-    ]
+    script = ("class", "method", "function")
+    makers = (
+        (("python",), lambda n: resolve_python(of(*n), symbols).join(owner, ["path", "owner", "owner_line"], "left")),
+        (("java",), lambda n: by_line(resolve_java(of(*n), symbols, files), (*TYPES, "method", "constructor"), TYPES, n)),
+        (JS, lambda n: by_line(resolve_js(of(*n), syms(*n), src(*n), aliases, base), script, ("class",), n)),
+        (TS, lambda n: by_line(resolve_js(of(*n), syms(*n), src(*n), aliases, base), script, ("class",), n)),
+        (("kotlin",), lambda n: by_line(resolve_kotlin(of(*n), symbols, files), (*TYPES, "method", "function", "constructor"), TYPES, n)),
+        (("swift",), lambda n: by_line(resolve_swift(of(*n), symbols, files), ("class", "struct", "enum", "protocol", "method", "function", "constructor"), ("class", "struct", "enum", "protocol"), n)),
+    )
+    # only languages that occur are planned; without any, the empty Python part gives the columns
+    parts = [make(names) for names, make in makers if present & set(names)] or [makers[0][1](("python",))]
     columns = ["repo_id", "path", "language", "relation_type", "target_ref", "line", "confidence", "target_symbol_id", "resolution_method", "source_symbol_id"]
     every = parts[0].select(*columns)
     for part in parts[1:]:
         every = every.unionByName(part.select(*columns))
+    every = cut(every)
     inner = F.when(F.col("language").isin("kotlin", "swift"), "internal").otherwise("symbol")
     edges = every.where("relation_type <> 'FILE_IMPORT' AND source_symbol_id IS NOT NULL").withColumn("target_kind", F.when(F.col("target_symbol_id").isNotNull(), inner).otherwise("external"))
     same = Window.partitionBy("source_symbol_id", "relation_type", F.coalesce("target_symbol_id", "target_ref"), "line").orderBy("target_ref")
     edges = edges.withColumn("nth", F.row_number().over(same)).where("nth = 1 OR language IN ('kotlin', 'swift')").select(*RELATION)
-    return edges, file_imports(every.where("relation_type = 'FILE_IMPORT'"), symbols, files, aliases, base)
+    return edges, file_imports(every.where("relation_type = 'FILE_IMPORT'"), symbols, files, aliases, base, present)
 
 
-def file_imports(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases: list[tuple[str, str]], base: str | None) -> DataFrame:
+def file_imports(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases: list[tuple[str, str]], base: str | None, present: set[str]) -> DataFrame:
     """File-to-file imports: by the resolved symbol's file; for Python also by module, for JavaScript and TypeScript by path."""
     of_symbol = symbols.select(F.col("id").alias("target_symbol_id"), F.col("path").alias("symbol_path"))
     rows = refs.join(of_symbol, "target_symbol_id", "left").drop("target_symbol_id")
@@ -324,13 +331,13 @@ def file_imports(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases:
     py = rows.where("language = 'python'").withColumn("symbol_path", F.when(F.col("resolution_method") == "qualified", F.col("symbol_path"))).withColumn("parent", F.regexp_replace("target_ref", r"\.?[^.]*$", ""))
     py = py.join(modules.withColumnRenamed("module", "target_ref"), "target_ref", "left").join(modules.select(F.col("module").alias("parent"), F.col("module_path").alias("parent_path")), "parent", "left")
     py = py.withColumn("target_path", F.coalesce("symbol_path", "module_path", "parent_path")).withColumn("resolution_method", F.when(F.col("symbol_path").isNotNull(), "qualified").when(F.col("target_path").isNotNull(), "module").otherwise("unresolved")).drop("parent", "module_path", "parent_path")
-    js = None
-    for names in (JS, TS):
+    every = py
+    for names in [n for n in (JS, TS) if present & set(n)]:
         own = rows.where(F.col("language").isin(*names))
         found = js_paths(own.select("path", F.col("target_ref").alias("module")), files.where(F.col("language").isin(*names)), aliases, base).withColumnRenamed("module", "target_ref")
         part = own.join(found, ["path", "target_ref"], "left").withColumn("target_path", F.col("resolved")).withColumn("resolution_method", F.when(F.col("resolved").isNotNull(), "path").otherwise("unresolved")).drop("resolved")
-        js = part if js is None else js.unionByName(part)
+        every = every.unionByName(part)
     rest = rows.where(~F.col("language").isin("python", *JS, *TS)).withColumn("target_path", F.col("symbol_path"))
-    every = py.unionByName(js).unionByName(rest)
+    every = every.unionByName(rest)
     kind = F.when(F.col("target_path").isNotNull(), "file").otherwise("external")
     return every.select("repo_id", F.col("path").alias("source_path"), "target_path", "target_ref", kind.alias("target_kind"), "path", "line", "language", "resolution_method").dropDuplicates(["source_path", "target_path", "target_ref", "line"])

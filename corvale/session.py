@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "corvale") -> SparkSession:
@@ -25,3 +26,11 @@ def local_session(cores: str | int = "*", app: str = "corvale") -> SparkSession:
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut at files in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvale-checkpoints-"))
+    return df.checkpoint()
