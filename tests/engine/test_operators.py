@@ -164,7 +164,7 @@ def test_parsers():
     js = "export default function() {\n}\nconst a = (x) => {\n};\nclass B extends C {\n  run() {\n  }\n}\n"
     assert parsers.REGISTRY["js"](js, "lib/index.js") == [("lib", "function", 1, 2), ("a", "function", 3, 4), ("B", "class", 5, 8), ("run", "method", 6, 7)]
     assert [s[:2] for s in parsers.swift_symbols("struct S {\n  init() {\n  }\n  func go() {}\n}\nfunc top() {}\n")] == [("S", "struct"), ("S", "constructor"), ("go", "method"), ("top", "function")]
-    assert parsers.json_keys('{"a": {\n "b": 1\n},\n"c": 2}') == [("a", "config_key", 1, 3), ("c", "config_key", 4, 4)]
+    assert parsers.json_keys('{"a": {\n "b": 1\n},\n"c": 2}') == [("a", "config_key", 1, 4), ("c", "config_key", 4, 4)]
     parsers.register("Toy", lambda content, path: [("x", "toy", 1, 1)])
     assert parsers.parser_of("toy")("", "") == [("x", "toy", 1, 1)]
     del parsers.REGISTRY["toy"]
