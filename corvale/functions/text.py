@@ -43,7 +43,8 @@ def _folding() -> tuple[str, str]:
 def fold_accents(text: Column) -> Column:
     """Latin letters without their marks. Exact for Latin text; see fold_unicode for any script."""
     accented, plain = _folding()
-    return F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}+", "")
+    folded = F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)  # ASCII has no marks
 
 
 @F.pandas_udf(StringType())

@@ -45,8 +45,9 @@ def external_imports(imports: DataFrame, order: str = "line") -> DataFrame:
 
 
 def semantic_edges(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges between symbols, edges to external references), without repeats of a relation id."""
-    rows = relations.withColumn("edge_id", relation_id(*[F.col(c) for c in ("repo_id", "source_symbol_id", "relation_type", "target_symbol_id", "target_ref", "path", "line", "language")])).dropDuplicates(["edge_id"])
+    """(edges between symbols, edges to external references), without repeats of a relation id; the surest of equal ones stands."""
+    parts = ["repo_id", "source_symbol_id", "relation_type", "target_symbol_id", "target_ref", "path", "line", "language"]
+    rows = relations.groupBy(*parts).agg(F.max("confidence").alias("confidence")).withColumn("edge_id", relation_id(*map(F.col, parts)))
     inner = rows.where("target_symbol_id IS NOT NULL").select("edge_id", F.col("source_symbol_id").alias("source_id"), F.col("target_symbol_id").alias("target_id"), "relation_type", "confidence")
     outer = rows.where("target_symbol_id IS NULL").select("edge_id", F.col("source_symbol_id").alias("source_id"), "target_ref", "language", "relation_type", "confidence")
     return inner, outer

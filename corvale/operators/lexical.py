@@ -62,6 +62,9 @@ def search(corpus: DataFrame, repo: str, text: str, top_n: int = 50) -> DataFram
     own = corpus.where((F.col("repo_id") == repo) & (F.col("entity_type") != "file_full"))
     if not words:
         return own.withColumn("score", F.lit(0.0)).limit(0)
+    hay = fold_accents(F.lower(F.concat_ws(" ", *WEIGHTS)))
+    for word in words:  # cheap and necessary: cut before texts are split into words
+        own = own.where(F.contains(hay, F.lit(word)))
     split = own.withColumns({f"terms_{f}": terms(F.col(f)) for f in WEIGHTS})
     ranked = split.withColumn("score", _rank(words)).where("score IS NOT NULL").drop(*[f"terms_{f}" for f in WEIGHTS])
     return ranked.orderBy(F.desc("score"), "id").limit(top_n)

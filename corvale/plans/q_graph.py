@@ -132,7 +132,7 @@ def has_graph_data(spark, sf_dir):
     return spark.createDataFrame([(r, graph.has_data(files, r)) for r in (t.REPO, "absent")], "repo_id string, has_data boolean")
 
 
-_WALK = f"""{t.RELATIONS}, e AS (SELECT {_ID} AS i, any_value(source_symbol_id) AS a, any_value(target_symbol_id) AS b, any_value(relation_type) AS k, any_value(confidence) AS c FROM relations WHERE target_symbol_id IS NOT NULL AND relation_type IN ('CALLS', 'EXTENDS') GROUP BY 1),
+_WALK = f"""{t.RELATIONS}, e AS (SELECT {_ID} AS i, any_value(source_symbol_id) AS a, any_value(target_symbol_id) AS b, any_value(relation_type) AS k, max(confidence) AS c FROM relations WHERE target_symbol_id IS NOT NULL AND relation_type IN ('CALLS', 'EXTENDS') GROUP BY 1),
 u AS (SELECT i, a, b, k, c FROM e UNION ALL SELECT i, b, a, k, c FROM e WHERE a <> b)"""
 #: Seeds of the expansion: the symbols of the parts with the smallest degree of fan-out, by key.
 _SEEDS = "seeds AS (SELECT a AS s FROM u GROUP BY a ORDER BY count(*), a LIMIT 10)"

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvale.session import spread
+
 REPO = "corpus"
 
 
@@ -20,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return read(spark, sf_dir, "documents").select(F.lit(REPO).alias("repo_id"), path.alias("path"), F.lit("markdown").alias("language"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang", "source")
+    return spread(read(spark, sf_dir, "documents")).select(F.lit(REPO).alias("repo_id"), path.alias("path"), F.lit("markdown").alias("language"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang", "source")
 
 
 FILES = "files AS (SELECT 'corpus' AS repo_id, source || '/' || lang || '/doc_' || doc_id || '.md' AS path, 'markdown' AS language, coalesce(text, '') AS content, doc_id, lang, source FROM documents)"
@@ -76,7 +78,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as semantic relations between symbols of files."""
     kind = F.when(F.col("l_returnflag") == "A", "CALLS").when(F.col("l_returnflag") == "N", "IMPORTS").otherwise("EXTENDS")
     open_end = (F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)
-    return read(spark, sf_dir, "lineitem").select(
+    return spread(read(spark, sf_dir, "lineitem")).select(
         F.lit(REPO).alias("repo_id"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_symbol_id"),
         kind.alias("relation_type"),

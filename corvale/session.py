@@ -34,3 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvale-checkpoints-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many partitions as there are cores. Tables of one small file would else be read, and
+    everything before the next shuffle done, by one task; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
