@@ -215,8 +215,11 @@ def fit(ordinary: list[bytes], rounds: int = 60, copies: int = 40, seed: int = 1
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fits on the templates and on paragraphs of at most sample documents."""
-    some = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample)
-    paragraphs = [p for t in some.select("draw", "doc_id", "text").toArrow().sort_by([("draw", "ascending"), ("doc_id", "ascending")])["text"].to_pylist() for p in (t or b"").split(b"\n")]
+    order = ["draw", "doc_id"]
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("draw")).orderBy(*order).limit(sample)  # texts follow for these few only
+    some = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = some.select(*order, "text").toArrow().sort_by([(c, "ascending") for c in order])["text"].to_pylist()
+    paragraphs = [p for t in texts for p in (t or b"").split(b"\n")]
     return fit(paragraphs[:PARAGRAPHS])
 
 
