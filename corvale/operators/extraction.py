@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvale.functions.text import first_segment, line_slice
 from corvale.operators import parsers
+from corvale.session import spread
 
 SYMBOL = "repo_id string, path string, language string, symbol_name string, symbol_type string, start_line int, end_line int"
 SECTION_LINES = 20
@@ -48,7 +49,7 @@ def _parsed(files: DataFrame, json: bool = False) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["repo_id", "path", "language", "symbol_name", "symbol_type", "start_line", "end_line"])
 
-    return files.select("repo_id", "path", "language", "content").mapInPandas(run, SYMBOL)
+    return spread(files.select("repo_id", "path", "language", "content")).mapInPandas(run, SYMBOL)
 
 
 def code_symbols(files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corvale.operators import parsers
 from corvale.operators.extraction import enclosing
-from corvale.session import cut
+from corvale.session import cut, spread
 
 TYPES = ("class", "interface", "enum", "record")
 REFERENCE = "repo_id string, path string, language string, owner string, owner_line int, relation_type string, target_ref string, bound_ref string, line int, confidence double"
@@ -30,7 +30,7 @@ def raw_references(files: DataFrame) -> DataFrame:
             rows = [(r.repo_id, r.path, r.language, *x) for r in batch.itertuples() for x in parsers.references(r.content or "", r.path, r.language)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCE.split(", ")])
 
-    return files.select("repo_id", "path", "language", "content").mapInPandas(run, REFERENCE)
+    return spread(files.select("repo_id", "path", "language", "content")).mapInPandas(run, REFERENCE)
 
 
 def _bindings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
