@@ -4,8 +4,10 @@ Text is cut by the vocabulary file's added tokens and then by its split pattern.
 words that a batch needs and the cache lacks are encoded together: the symbols of all
 of them lie in one flat array; each round looks up every neighbouring pair by binary
 search over the sorted pair keys, takes each word's lowest rank and merges all its
-occurrences from the left. Words leave the array when no pair is known. Decoding
-gathers the bytes of the ids from one flat table.
+occurrences from the left. Words leave the array when no pair is known. Words over
+``LONG_WORD`` bytes have rounds of their own over a linked array, in which a round costs
+as much as it merges, so a text without blanks takes time in proportion to its length.
+Decoding gathers the bytes of the ids from one flat table.
 
 Edge cases: a null text counts as empty and has no ids. Texts are taken whole, also
 those without blanks. Tables without rows give no rows; other columns are ignored.
@@ -14,6 +16,7 @@ those without blanks. Tables without rows give no rows; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -28,6 +31,8 @@ from corvale.llm.common import binary_column, each_batch, offsets_of, table
 
 #: Words whose ids a worker remembers; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
+#: Bytes beyond which a word is encoded in rounds of its own.
+LONG_WORD = 1024
 _NONE = np.iinfo(np.int64).max
 
 
@@ -70,6 +75,7 @@ class ByteBPE:
         self._base = len(self.bytes_of)
         keys = np.array([vocab[a] * self._base + vocab[b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
+        self.rank_keys = keys
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
         self.pair_ids = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
@@ -117,6 +123,51 @@ class ByteBPE:
         ids = np.concatenate([s for _, s in done]) if done else np.zeros(0, dtype=np.int64)
         return ids[np.argsort(owners, kind="stable")], offsets_of(np.bincount(owners, minlength=len(words)))
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; _NONE for unknown pairs and those with a missing side."""
+        keys = np.where((left >= 0) & (right >= 0), left * self._base + right, -1)
+        place = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[place] == keys, self.pair_ranks[place], _NONE)
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: each round takes the lowest rank left and merges its occurrences."""
+        n = len(word)
+        symbols = np.append(self.byte_ids[np.frombuffer(word, dtype=np.uint8)], -1)  # the last entry stands for both ends
+        after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+        before[0] = n
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            ranks = self._ranks(symbols[places], symbols[after[places]])
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if len(ranks) else ranks
+            for some, rank in zip(np.split(places, cuts[1:]), ranks[cuts].tolist()):
+                if rank != _NONE:
+                    if rank not in waiting:
+                        heapq.heappush(heap, rank)
+                    waiting.setdefault(rank, []).append(some)
+
+        wait(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[symbols[at] >= 0]
+            at = at[(symbols[after[at]] >= 0) & (symbols[at] * self._base + symbols[after[at]] == self.rank_keys[rank])]
+            if not len(at):
+                continue
+            index = np.arange(len(at))
+            run = np.append(True, after[at[:-1]] != at[1:])
+            at = at[(index - np.maximum.accumulate(np.where(run, index, 0))) % 2 == 0]
+            gone = after[at]
+            symbols[at], symbols[gone] = self.pair_ids[rank], -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            wait(np.unique(np.concatenate([left[left < n], at])))
+        return symbols[symbols >= 0]
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.words(t) for t in texts]
@@ -126,6 +177,9 @@ class ByteBPE:
         for token in [w for w in new if w in self.added]:
             self.cache[token] = np.int32(self.added[token]).tobytes()
         new = [w for w in new if w not in self.added]
+        for word in [w for w in new if len(w.encode()) > LONG_WORD]:
+            self.cache[word] = self.encode_long(word.encode()).astype("<i4").tobytes()
+        new = [w for w in new if w not in self.cache]
         ids, starts = self.encode_words([w.encode() for w in new])
         flat, ends = ids.astype("<i4").tobytes(), (starts * 4).tolist()
         self.cache.update(zip(new, [flat[a:b] for a, b in zip(ends, ends[1:])]))

@@ -47,6 +47,16 @@ def test_encoded_and_decoded_frames(spark):
     assert bpe.encoded(frame(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnop", "é日", "=", " ", "0123456789"])
+def test_long_words_take_rounds_of_their_own(library, letters):
+    known = bpe.ByteBPE(bpe.default_tokenizer())
+    picks = np.random.default_rng(3).integers(0, len(letters), 60_000)
+    text = "".join(letters[i] for i in picks)
+    assert known.encode_batch([text, "a " + text[:2000]])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    word = text[:1500].encode()
+    assert known.encode_long(word).tolist() == known.encode_words([word])[0].tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_decodes_to_itself(text):
