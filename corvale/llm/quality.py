@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Colu
 
     got = each_batch(known.select("doc_id", "text", "label"), work, "doc_id long, label int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
-    order = np.argsort((np.array(got["doc_id"].to_pylist(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
+    order = np.argsort((np.array(got["doc_id"].to_pylist(), dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
     return fit(x[order], got["label"].to_numpy()[order])
 
 

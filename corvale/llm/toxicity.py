@@ -236,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Colu
         return pa.table({"doc_id": rows["doc_id"], "label": rows["label"], "lang": rows["lang"], "words": pa.array([flat[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())})
 
     got = each_batch(known, work, "doc_id long, label int, lang string, words binary").toArrow()
-    order = np.argsort((np.array(got["doc_id"].to_pylist(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
+    order = np.argsort((np.array(got["doc_id"].to_pylist(), dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
     words = [np.frombuffer(w, dtype="<i4").reshape(-1, PARTS) for w in got["words"].to_pylist()]
     langs = got["lang"].to_pylist()
     return fit([words[i] for i in order], got["label"].to_numpy()[order].astype(int), [langs[i] for i in order])

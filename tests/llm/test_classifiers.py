@@ -50,6 +50,14 @@ def test_contradictory_and_null_labels_are_left_out(spark):
     assert [(r["doc_id"], r["label"]) for r in found] == [(3, 1)]
 
 
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_training_on_negative_ids(spark, module):
+    docs = spark.createDataFrame([(-i, "bad bad" if i % 2 else "some good words", "en") for i in range(1, 60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(-i, i % 2, i % 2) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in module.score(docs, module.train(docs, labels)).collect()}
+    assert scores[-1] > scores[-2]
+
+
 def test_stages_keep_columns_and_clean_rows(spark, data):
     docs, labels = data
     good = quality.keep_good(docs, labels)
