@@ -60,7 +60,7 @@ def normalize_text(text: Column) -> Column:
 
 def canonical_identifier(text: Column) -> Column:
     """The normalised text with every run of other characters as one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(normalize_text(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(fold_accents(F.lower(text)), "[^a-z0-9]+", "_"), F.lit("_"))  # blanks are such characters too
 
 
 def tokens(text: Column) -> Column:

@@ -24,8 +24,8 @@ def candidate_count(top_n: int, has_identifier: bool) -> int:
 
 
 def driver_value(df: DataFrame, column: Column):
-    """A column of constants, evaluated once on the driver's side."""
-    return df.sparkSession.range(1).select(column.alias("v")).first()["v"]
+    """A column of constants, evaluated once while planning: over a literal row, so without a job."""
+    return df.sparkSession.sql("SELECT * FROM VALUES (1) AS one(x)").select(column.alias("v")).first()["v"]
 
 
 def identifier_adjustment(query: Column, path: Column, symbol_name: Column, symbol_type: Column, text: Column) -> Column:

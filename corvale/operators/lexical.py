@@ -10,6 +10,9 @@ text functions that feed the postings.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +66,11 @@ def search(corpus: DataFrame, repo: str, text: str, top_n: int = 50) -> DataFram
     if not words:
         return own.withColumn("score", F.lit(0.0)).limit(0)
     hay = fold_accents(F.lower(F.concat_ws(" ", *WEIGHTS)))
-    for word in words:  # cheap and necessary: cut before texts are split into words
-        own = own.where(F.contains(hay, F.lit(word)))
+    every = lambda h: reduce(and_, [F.contains(h, F.lit(word)) for word in words])
+    own = own.where(F.element_at(F.transform(F.array(hay), every), 1))  # necessary, and the text is folded once: cut before texts are split into words
     split = own.withColumns({f"terms_{f}": terms(F.col(f)) for f in WEIGHTS})
-    ranked = split.withColumn("score", _rank(words)).where("score IS NOT NULL").drop(*[f"terms_{f}" for f in WEIGHTS])
-    return ranked.orderBy(F.desc("score"), "id").limit(top_n)
+    ranked = split.withColumn("score", _rank(words)).drop(*[f"terms_{f}" for f in WEIGHTS])
+    return ranked.orderBy(F.desc("score"), "id").limit(top_n).where("score IS NOT NULL")  # nulls come last; a filter before would rank twice
 
 
 def search_many(index: DataFrame, queries: DataFrame, top_n: int = 50) -> DataFrame:

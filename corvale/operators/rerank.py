@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvale.functions import paths
 from corvale.functions.intents import query_profile
 from corvale.functions.text import canonical_identifier, contains_all_or_share, normalize_text, path_exact_match
+from corvale.operators.hybrid import driver_value
 
 DEFINITION_TYPES = ("class", "function", "method", "module")
 WRAPPER_PREFIXES = ("fake_", "test_", "mock_", "stub_")
@@ -122,9 +123,17 @@ def _terms() -> list[tuple[Column, list[tuple[Column, float]]]]:
     ]
 
 
-def scored(chunks: DataFrame, query: Column) -> DataFrame:
-    """Adds prelim, the score before diversity, and the profile and features behind it."""
-    rows = features(chunks.withColumn("profile", query_profile(query)))
+def constant_profile(df: DataFrame, query: str) -> Column:
+    """The profile of one query as literals: evaluated once, where the column expression would be for each row."""
+    found = driver_value(df, query_profile(F.lit(query))).asDict()
+    value = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
+    return F.struct(*[value(v).alias(name) for name, v in found.items()])
+
+
+def scored(chunks: DataFrame, query: Column | str) -> DataFrame:
+    """Adds prelim, the score before diversity, and the profile and features behind it. query: one for all rows, or a column."""
+    profile = constant_profile(chunks, query) if isinstance(query, str) else query_profile(query)
+    rows = features(chunks.withColumn("profile", profile))
     total = F.col("score") + 0.55 * F.col("f.symbol") + 0.25 * F.col("f.path") + 0.15 * F.col("f.text")
     for active, block in _terms():
         points = F.lit(0.0)
@@ -150,7 +159,7 @@ def diversify(rows: DataFrame, top_k: int = 10, by: tuple[str, ...] = ()) -> Dat
     return rows.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("final"), "pos"))).where(F.col("rank") <= top_k).drop("promo", "pos")
 
 
-def rerank(chunks: DataFrame, query: Column, top_k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+def rerank(chunks: DataFrame, query: Column | str, top_k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """The top_k chunks with final score and rank. chunks also has input_pos, the order in which they came."""
     rows = scored(chunks, query)
     f, q = (lambda n: F.col(f"f.{n}")), (lambda n: F.col(f"profile.{n}"))

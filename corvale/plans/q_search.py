@@ -295,7 +295,7 @@ prelim AS (SELECT id, path, doc_id, line_no, {_SCORE} AS prelim, (cs = 'the_and'
 
 @query("rerank_scores", f"WITH {_RERANK} SELECT id, round(prelim, 6) AS prelim, preferred FROM prelim")
 def rerank_scores(spark, sf_dir):
-    rows = rerank.scored(_rerank_rows(spark, sf_dir), F.lit(RERANK_QUERY))
+    rows = rerank.scored(_rerank_rows(spark, sf_dir), RERANK_QUERY)
     f, p = (lambda n: F.col(f"f.{n}")), F.col("profile.prefers_definitions")
     preferred = p & ((f("exact_symbol") & f("definition")) | (~f("named") & f("in_text") & f("productive")))
     return rows.select("id", F.round("prelim", 6).alias("prelim"), preferred.alias("preferred"))
@@ -310,7 +310,7 @@ r3 AS (SELECT *, prelim - CASE nth WHEN 1 THEN 0 WHEN 2 THEN 0.5 ELSE 0.8 END AS
 SELECT id, path, round(final, 6) AS final, CAST(row_number() OVER (ORDER BY final DESC, pos) AS BIGINT) AS "rank" FROM r3 QUALIFY "rank" <= {TOP}""",
 )
 def rerank_diversity(spark, sf_dir):
-    rows = rerank.scored(_rerank_rows(spark, sf_dir), F.lit(RERANK_QUERY))
+    rows = rerank.scored(_rerank_rows(spark, sf_dir), RERANK_QUERY)
     f, p = (lambda n: F.col(f"f.{n}")), F.col("profile.prefers_definitions")
     preferred = p & ((f("exact_symbol") & f("definition")) | (~f("named") & f("in_text") & f("productive")))
     rows = rows.select("id", "path", F.struct("input_pos", "line_no").alias("input_pos"), F.round("prelim", 9).alias("prelim"), preferred.alias("preferred"))
