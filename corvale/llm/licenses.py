@@ -1,23 +1,29 @@
 """Licence scan: a trained paragraph classifier with template confirmation.
 
-A paragraph is a line of a text. Its words and pairs of neighbouring words are hashed into
-sparse counts, scaled by the root of the paragraph's length, and a multinomial logistic
-regression gives a probability for each licence family and for the class of all else. The
+A paragraph is a line of a text, or a run of words over any number of lines: notices are often
+wrapped, within comments, or part of a longer line. A run is a stretch of the whole text, at
+most ``SPREAD`` times as long as a template, that holds at least ``CONFIRM`` of the template's
+word pairs; line breaks and words of marks only (comment signs) do not part a pair. Words and
+pairs of neighbouring words are hashed into sparse counts, scaled by the root of the
+paragraph's length, and a multinomial logistic regression gives a probability for each licence
+family and for the class of all else. The
 regression is trained in numpy on disturbed copies of the templates (words dropped, doubled,
 re-cased, other numbers, other words around) against ordinary paragraphs: generated ones
-and those of at most ``SAMPLE`` documents of the table, by smallest hash of doc_id, that no
-template resembles. The least probability of a family is calibrated on unseen paragraphs, so
+and those lines of at most ``SAMPLE`` documents of the table, by smallest hash of doc_id, that no
+template resembles and no run touches. The least probability of a family is calibrated on unseen paragraphs, so
 that at most ``UNKNOWN_RATE`` of the ordinary ones pass; what does not pass is unknown. A
 prediction stands only if the paragraph also holds at least ``CONFIRM`` of the word pairs of
-one of the family's templates.
+one of the family's templates. Of runs that overlap the one with the largest share stands; a
+line counts where no run of its family touches it.
 
-Edge cases: null, empty and blank texts have one paragraph and no licence. Texts are taken
+Edge cases: null, empty and blank texts have one line and no licence. Texts are taken
 whole. Repeated rows are scanned each. Tables without rows give no rows; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -35,6 +41,8 @@ PARAGRAPHS = 20_000
 BUCKETS = 1 << 15
 UNKNOWN_RATE = 0.001
 CONFIRM = 0.6
+#: Length of a run in lengths of its template: room for comment signs and for other words between.
+SPREAD = 2
 
 #: Short notices by which texts name their licence.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -96,6 +104,61 @@ def similarity(paragraph: bytes, family: str) -> float:
 
 
 _TEMPLATE_PAIRS = {family: [_pairs(words_of(t.encode())) for t in texts] for family, texts in TEMPLATES.items()}
+_KNOWN = {w: i for i, w in enumerate(sorted({w for sets in _TEMPLATE_PAIRS.values() for pairs in sets for p in pairs for w in p}))}
+_MARKS, _OTHER = -2, -1
+#: (family number, sorted codes of the word pairs, longest run) of each template.
+_TEMPLATE_CODES = [(k, np.sort([_KNOWN[x] * len(_KNOWN) + _KNOWN[y] for x, y in pairs]), SPREAD * len(words_of(text.encode()))) for k, family in enumerate(TEMPLATES) for text, pairs in zip(TEMPLATES[family], _TEMPLATE_PAIRS[family])]
+_ALL_CODES = np.unique(np.concatenate([codes for _, codes, _ in _TEMPLATE_CODES]))
+
+
+@dataclass
+class Run:
+    """Words first to last (both within) of a text that hold a share of a template's pairs."""
+
+    family: int
+    share: float
+    first: int
+    last: int
+    lines: tuple[int, int]
+    words: bytes
+
+
+def runs(texts: list[list[bytes]]) -> tuple[list[Run], np.ndarray]:
+    """(all runs, lines with a pair of any template) of texts given as lines; lines are numbered over all texts."""
+    split = [line.split() for lines in texts for line in lines]
+    flat = list(chain.from_iterable(split))
+    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    normal = [(words_of(w) or [b""])[0] for w in number]
+    known = np.array([_KNOWN.get(w, _OTHER) if w else _MARKS for w in normal], dtype=np.int64)
+    ids = known[np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))] if flat else np.zeros(0, dtype=np.int64)
+    raw = np.flatnonzero(ids != _MARKS)
+    ids = ids[raw]
+    line = np.repeat(np.arange(len(split)), [len(s) for s in split])[raw]
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[line] if len(line) else line
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (text[:-1] == text[1:]))
+    codes = ids[at] * len(_KNOWN) + ids[at + 1]
+    of_template = np.isin(codes, _ALL_CODES)
+    at, codes = at[of_template], codes[of_template]
+    out = []
+    for family, own, longest in _TEMPLATE_CODES:
+        hit = np.isin(codes, own)
+        p, c = at[hit], codes[hit]
+        least = max(1, math.ceil(CONFIRM * len(own) - 1e-9))
+        if len(p) < least:
+            continue
+        begins = np.flatnonzero((p[least - 1 :] - p[: len(p) - least + 1] < longest) & (text[p[least - 1 :]] == text[p[: len(p) - least + 1]]))
+        for k in begins.tolist():
+            seen, last, j = set(), k, k
+            while j < len(p) and p[j] - p[k] < longest and text[p[j]] == text[p[k]]:
+                if c[j] not in seen:
+                    seen.add(c[j])
+                    last = j
+                j += 1
+            share = len(seen) / len(own)
+            if share >= CONFIRM:
+                first, end = int(p[k]), int(p[last]) + 1
+                out.append(Run(family, share, first, end, (int(line[first]), int(line[end])), b" ".join(flat[i] for i in raw[first : end + 1])))
+    return out, np.unique(np.concatenate([line[at], line[at + 1]])) if len(at) else np.zeros(0, dtype=np.int64)
 
 
 class Paragraphs:
@@ -145,17 +208,43 @@ class Classifier:
         none = len(FAMILIES) - 1
         return np.where((best != none) & (chance < self.least), none, best), chance
 
-    def scan(self, text: bytes | list[bytes]) -> list[tuple[int, str, float, float]]:
-        """(paragraph number, family, probability, similarity) of the confirmed licences of a text."""
-        paragraphs = text.split(b"\n") if isinstance(text, bytes) else text
-        best, chance = self.predict(paragraphs)
-        out = []
-        for i in np.flatnonzero(best != len(FAMILIES) - 1):
-            family = FAMILIES[best[i]]
-            alike = similarity(paragraphs[i], family)
+    def scan(self, text: bytes) -> list[tuple[int, str, float, float]]:
+        """(line number, family, probability, similarity) of the confirmed licences of a text."""
+        return self.scan_all([text.split(b"\n")])[0]
+
+    def scan_all(self, texts: list[list[bytes]]) -> list[list[tuple[int, str, float, float]]]:
+        """The confirmed licences of texts given as lines; a licence has the number of the line where it begins."""
+        starts = offsets_of(np.array([len(t) for t in texts], dtype=np.int64))
+        found, touched = runs(texts)
+        out: list[tuple[int, str, float, float]] = []
+        here: dict[int, list[int]] = {}
+        best, chance = self.predict([r.words for r in found])
+        taken: dict[int, list[Run]] = {}
+        for n in sorted((n for n, r in enumerate(found) if best[n] == r.family), key=lambda n: (-found[n].share, found[n].last - found[n].first, found[n].first)):
+            run = found[n]
+            blocks = range(run.first >> 7, (run.last >> 7) + 1)
+            if any(x.first <= run.last and run.first <= x.last for b in blocks for x in taken.get(b, ())):
+                continue
+            for b in blocks:
+                taken.setdefault(b, []).append(run)
+            for i in range(run.lines[0], run.lines[1] + 1):
+                here.setdefault(i, []).append(run.family)
+            out.append((run.lines[0], FAMILIES[run.family], float(chance[n]), run.share))
+        flat = list(chain.from_iterable(texts))
+        lines = touched.tolist()  # others share no pair with a template
+        best, chance = self.predict([flat[i] for i in lines])
+        for n in np.flatnonzero(best != len(FAMILIES) - 1).tolist():
+            i, family = lines[n], int(best[n])
+            if family in here.get(i, ()):
+                continue
+            alike = similarity(flat[i], FAMILIES[family])
             if alike >= CONFIRM:
-                out.append((int(i), family, float(chance[i]), alike))
-        return out
+                out.append((i, FAMILIES[family], float(chance[n]), alike))
+        each: list[list[tuple[int, str, float, float]]] = [[] for _ in texts]
+        for i, *rest in sorted(out):
+            doc = int(np.searchsorted(starts, i, side="right")) - 1
+            each[doc].append((i - int(starts[doc]), *rest))
+        return each
 
 
 def disturbed(text: str, rng: np.random.Generator, vocabulary: list[bytes]) -> bytes:
@@ -219,31 +308,29 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("draw")).orderBy(*order).limit(sample)  # texts follow for these few only
     some = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
     texts = some.select(*order, "text").toArrow().sort_by([(c, "ascending") for c in order])["text"].to_pylist()
-    paragraphs = [p for t in texts for p in (t or b"").split(b"\n")]
+    split = [(t or b"").split(b"\n") for t in texts]
+    notices = {i for r in runs(split)[0] for i in range(r.lines[0], r.lines[1] + 1)}
+    paragraphs = [p for i, p in enumerate(chain.from_iterable(split)) if i not in notices]
     return fit(paragraphs[:PARAGRAPHS])
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """One row per row of docs: doc_id, n_paragraphs, n_licensed, families, probability, spans.
 
-    families: distinct, sorted, joined by commas; probability: the largest; spans: paragraph:family, joined by commas."""
+    n_paragraphs: lines; families: distinct, sorted, joined by commas; probability: the largest; spans: line where it begins:family, joined by commas."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(rows: pa.Table) -> pa.Table:
         split = [t.split(b"\n") for t in binary_column(rows, "text")]
-        starts = offsets_of(np.array([len(s) for s in split], dtype=np.int64))
-        found: list[list[tuple[int, str, float]]] = [[] for _ in split]
-        for at, family, chance, _ in shipped.value.scan(list(chain.from_iterable(split))):
-            doc = int(np.searchsorted(starts, at, side="right")) - 1
-            found[doc].append((at - int(starts[doc]), family, chance))
+        found = shipped.value.scan_all(split)
         return pa.table(
             {
                 "doc_id": rows["doc_id"],
                 "n_paragraphs": pa.array([len(s) for s in split], pa.int64()),
                 "n_licensed": pa.array([len(f) for f in found], pa.int64()),
-                "families": pa.array([",".join(sorted({x for _, x, _ in f})) for f in found], pa.string()),
-                "probability": pa.array([max((c for _, _, c in f), default=0.0) for f in found], pa.float64()),
-                "spans": pa.array([",".join(f"{i}:{x}" for i, x, _ in f) for f in found], pa.string()),
+                "families": pa.array([",".join(sorted({x for _, x, *_ in f})) for f in found], pa.string()),
+                "probability": pa.array([max((c for _, _, c, _ in f), default=0.0) for f in found], pa.float64()),
+                "spans": pa.array([",".join(f"{i}:{x}" for i, x, *_ in f) for f in found], pa.string()),
             }
         )
 

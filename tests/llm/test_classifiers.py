@@ -95,3 +95,30 @@ def test_licences(spark, data):
     assert [x[1] for x in model.scan("Foo\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation\n".encode())] == ["gpl"]
     assert [(r["n_paragraphs"], r["n_licensed"]) for r in licenses.scan(odd(spark, ODD[:2]), model).collect()] == [(1, 0), (1, 0)]
     assert licenses.scan(odd(spark, []), model).count() == 0
+
+
+WRAPPED = {
+    "mit": "MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n",
+    "bsd": "Copyright 2019 Someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above notice\n",
+    "isc": "Copyright 2018 Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\nnotice appears in all copies.\n",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n",
+}
+
+
+def test_wrapped_licences(spark, data):
+    model = licenses.train(data[0])
+    forms = {
+        "plain": lambda t: t,
+        "comment": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;\n",
+        "hash": lambda t: "".join(f"# {x}\n" for x in t.split("\n")),
+        "narrow": lambda t: "\n".join(" ".join(t.split()[i : i + 4]) for i in range(0, len(t.split()), 4)),
+        "within one line": lambda t: "some words of a story " * 900 + " ".join(t.split()) + " and so on with the tale" * 900,
+    }
+    rows = [(n, form(text), family) for n, (form, family, text) in enumerate((f, k, v) for f in forms.values() for k, v in WRAPPED.items())]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: (r["families"], r["n_licensed"]) for r in licenses.scan(docs, model).collect()}
+    assert found == {n: (family, 1) for n, _, family in rows}
+    half = WRAPPED["gpl"].split("\n", 1)
+    docs = spark.createDataFrame([(1, half[0]), (2, half[1].split("\n")[1])], "doc_id long, text string").coalesce(1)
+    assert {r["n_licensed"] for r in licenses.scan(docs, model).collect()} == {0}  # no run over two documents
+    assert [x[:2] for x in model.scan(b"Title\n" + WRAPPED["bsd"].encode())] == [(3, "bsd")]
