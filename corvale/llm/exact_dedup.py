@@ -9,16 +9,17 @@ never shuffled. All other digests take an ordinary shuffle on the digest.
 
 Edge cases: a null text counts as empty, so all null, empty and blank texts form one
 group. Null doc_ids lose to any other on ties. Repeated rows of one doc_id count as
-copies in group_size, and each is kept if the doc_id is the one that stays. Tables
-without rows give no rows; further columns are ignored by ``groups`` and returned by
-``keep_best``.
+copies in group_size, and each is marked as kept by ``groups`` if the doc_id is the one
+that stays; ``keep_best`` returns exactly one row of each group, of equal ones the smallest
+by text and further columns. Tables without rows give no rows; further columns are ignored
+by ``groups`` and returned by ``keep_best``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvale.llm.common import BLANKS, cut, table
@@ -29,11 +30,18 @@ SKETCH_K = 128
 SKETCH_ITEMS = 4096
 
 
+def _digest() -> Column:
+    bare = reduce(lambda column, blank: F.replace(column, F.lit(blank), F.lit("")), BLANKS, F.coalesce(F.col("text"), F.lit("")))
+    return F.sha2(bare, 256)
+
+
+def _code_points() -> Column:
+    return F.char_length(F.coalesce(F.col("text"), F.lit("")))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, code_points) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bare = reduce(lambda column, blank: F.replace(column, F.lit(blank), F.lit("")), BLANKS, text)
-    return docs.select(F.col("doc_id"), F.sha2(bare, 256).alias("digest"), F.char_length(text).alias("code_points"))
+    return docs.select(F.col("doc_id"), _digest().alias("digest"), _code_points().alias("code_points"))
 
 
 def frequent(rows: DataFrame) -> DataFrame:
@@ -66,9 +74,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_best(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = groups(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.lit(True).alias("stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
+    """One row of each group, with all its columns. The smallest is taken map-side first, so that no group is hot."""
+    order = F.struct((-_code_points()).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    best = docs.groupBy(_digest().alias("digest")).agg(F.min(order).alias("best"))
+    return best.select("best.row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ component of its fingerprint. Tables without rows give no rows; other columns ar
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -56,14 +57,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, width: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, keys): fp as a signed long with the fingerprint's bits; keys are text columns that are passed on."""
 
     def work(rows: pa.Table) -> pa.Table:
         found = np.array([fingerprint(t, width) for t in binary_column(rows, "text")], dtype=np.uint64)
-        return pa.table({"doc_id": rows["doc_id"], "fp": pa.array(found.view(np.int64))})
+        return pa.table({"doc_id": rows["doc_id"], "fp": pa.array(found.view(np.int64)), **{k: rows[k] for k in keys}})
 
-    return each_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), work, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keys)
+    return each_batch(rows, work, ", ".join(["doc_id long", "fp long", *(f"{k} string" for k in keys)]))
 
 
 def _byte(column, position: int):
@@ -109,21 +111,33 @@ def links(distinct: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _rooted(rows: DataFrame, list_cap: int) -> DataFrame:
+    """(fp, first_id, root) of the distinct fingerprints of rows (doc_id, fp)."""
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(distinct, list_cap)).withColumnRenamed("node", "fp")
+    return cut(distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, list_cap: int = LIST_CAP) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links)."""
     rows = cut(fingerprints(docs, width))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, list_cap)).withColumnRenamed("node", "fp")
-    rooted = cut(distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(rows, list_cap)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; rows with a null doc_id stay only alone in theirs."""
-    stay = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
+    """Exactly one row of each group stays, that with the smallest doc_id; null doc_ids lose to any other.
+
+    A row is known by doc_id and text; of rows alike in both the smallest by further columns stays."""
+    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
+    rows = cut(fingerprints(docs.withColumn("__key", key), keys=["__key"]))
+    rooted = _rooted(rows, LIST_CAP).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__key").alias("key")))
+    stay = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
+    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
+    return kept.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,3 +178,17 @@ def test_e8_points_are_nearest():
     d = ((x - home) ** 2).sum(1)
     assert (((x[:, None] - home[:, None] - lattice.ROOTS[None]) ** 2).sum(2) >= d[:, None] - 1e-9).all()
     assert len(lattice.ROOTS) == 240 and np.allclose((lattice.ROOTS**2).sum(1), 2)
+
+
+SAME = [(None, "one two three"), (None, "lone words here"), (1, "one two three"), (2, "copy of a text"), (3, "copy of a text"), (3, "a longer and other text"), (4, "twice met"), (4, "twice met"), (5, "a b"), (5, "a\tb"), (None, "null twin"), (None, "null twin")]
+LEFT = [(None, "lone words here"), (None, "null twin"), (1, "one two three"), (2, "copy of a text"), (3, "a longer and other text"), (4, "twice met")]
+
+
+@pytest.mark.parametrize("stage, blank", [(exact_dedup.keep_best, "a\tb"), (simhash.keep_first, None)])
+def test_one_row_of_each_group_stays(spark, stage, blank):
+    kept = stage(docs_frame(spark, SAME))
+    assert kept.columns == ["doc_id", "text", "lang", "kept", "digest", "stay_id"]
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    fives = [x for x in found if x[0] == 5]
+    assert len(fives) == 1 and (blank is None or fives == [(5, blank)])
+    assert [x for x in found if x[0] != 5] == sorted(LEFT, key=repr)
