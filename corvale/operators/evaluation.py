@@ -232,6 +232,17 @@ def fact_coverage(facts: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.groupBy("query").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("matched"), F.count(F.lit(1)).alias("total")).withColumn("coverage", F.bround(F.col("matched") / F.col("total"), 4))
 
 
+def fact_coverage_any(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, matched, total, coverage): expected facts (query, fact) that any one of texts (column text) holds.
+
+    Each distinct fact is sought in each text by itself; hits are reduced to distinct facts before they are dealt out."""
+    own = facts.withColumn("fact", flat(F.col("fact")))
+    wanted = own.select(F.col("fact").alias("wanted")).distinct()
+    found = wanted.join(texts.select(flat(F.col("text")).alias("held")), F.contains(F.col("held"), F.col("wanted"))).select("wanted").distinct()
+    rows = own.join(found, own["fact"] == found["wanted"], "left")
+    return rows.groupBy("query").agg(F.count("wanted").alias("matched"), F.count(F.lit(1)).alias("total")).withColumn("coverage", F.bround(F.col("matched") / F.col("total"), 4))
+
+
 def component_coverage(expected: DataFrame, answers: DataFrame) -> DataFrame:
     """(query, matches, total) of expected components in answers and cited paths, without accents."""
     rows = expected.join(answers, "query", "left").withColumn("hit", F.contains(fold_accents(flat(F.col("corpus"))), fold_accents(flat(F.col("component")))))

@@ -8,6 +8,7 @@ from corvale.operators import evaluation
 from corvale.plans import sqltext as q
 from corvale.plans import tables as t
 from corvale.plans.registry import query
+from corvale.session import spread
 
 # Orders are questions, their line items the retrieved chunks (by line number), a customer's order the gold span.
 _IR = """qs AS (SELECT o_orderkey AS query_id, o_orderpriority AS cohort, o_orderstatus = 'F' AS gate_candidate, o_totalprice > 300000 AS fallback_used FROM orders),
@@ -184,6 +185,13 @@ def fact_coverage(spark, sf_dir):
     return evaluation.fact_coverage(facts, answers)
 
 
+@query("fact_coverage_all", f"WITH f AS (SELECT item_id AS query, {_FLAT.format('unnest')} AS fact FROM (SELECT item_id, unnest(string_split(text, '. ')) FROM benchmark) x(item_id, unnest)), d AS (SELECT {_FLAT.format("coalesce(text, '')")} AS held FROM documents), h AS (SELECT w.fact FROM (SELECT DISTINCT fact FROM f) w WHERE EXISTS (SELECT 1 FROM d WHERE contains(d.held, w.fact))) SELECT query, count(h.fact) AS matched, count(*) AS total, round(count(h.fact) / count(*), 4) AS coverage FROM f LEFT JOIN h USING (fact) GROUP BY query")
+def fact_coverage_all(spark, sf_dir):
+    """Sentences of benchmark passages as facts, each text of all documents as a possible answer."""
+    facts = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.split("text", r"\. ")).alias("fact"))
+    return evaluation.fact_coverage_any(facts, spread(t.read(spark, sf_dir, "documents")).select("text"))
+
+
 @query("component_coverage", "WITH a AS (SELECT 'q' AS query, strip_accents(lower(string_agg(n_name, ' ' ORDER BY n_nationkey))) AS corpus FROM nation), e AS (SELECT 'q' AS query, n_name AS component FROM nation UNION ALL SELECT 'q', 'Atlantis') SELECT e.query, count(*) FILTER (contains(a.corpus, strip_accents(lower(e.component)))) AS matches, count(*) AS total FROM e JOIN a ON e.query = a.query GROUP BY 1")
 def component_coverage(spark, sf_dir):
     nation = t.read(spark, sf_dir, "nation")
