@@ -113,6 +113,20 @@ def lexical_many(spark, sf_dir):
     return rows.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "lexical_many_whole",
+    f"""WITH {_POST}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({q.terms('text')}) AS term FROM benchmark), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
+hits AS (SELECT a.query_id, p.id, count(DISTINCT a.term) AS found, sum(CASE field WHEN 'symbol_name' THEN 1.0 WHEN 'path' THEN 0.4 ELSE 0.2 END * log2(1 + occurrences)) AS score FROM asked a JOIN postings p USING (term) GROUP BY ALL),
+ranked AS (SELECT h.query_id, h.id, h.score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(h.score, 9) DESC, h.id) AS r FROM hits h JOIN wanted w ON h.query_id = w.query_id AND h.found = w.n)
+SELECT query_id, id, round(score, 6) AS score, CAST(r AS BIGINT) AS "rank" FROM ranked WHERE r <= 10""",
+)
+def lexical_many_whole(spark, sf_dir):
+    """A table of questions, each passage with all its words, over the postings."""
+    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(t.REPO).alias("repo_id"), "text")
+    rows = lexical.search_many(lexical.postings(t.corpus(spark, sf_dir)), asked, 10)
+    return rows.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _A_FILE = "(SELECT max(path) FROM files)"
 
 
