@@ -16,6 +16,8 @@ from corvale.functions.text import file_name, first_segment
 
 #: Kinds of symbols that name a type.
 TYPE_KINDS = ("class", "interface", "struct", "enum", "trait", "record", "type", "component")
+#: Edges of a node that one task may get in a hop.
+HOT_NODE = 5_000
 RELATION_WEIGHTS = {"CALLS": 1.0, "IMPORTS": 0.7, "EXTENDS": 1.1, "IMPLEMENTS": 1.0}
 
 
@@ -159,6 +161,15 @@ def purposes(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("path").distinct().join(files.where("trim(purpose_summary) <> ''").select("path", "purpose_summary", "purpose_source"), "path")
 
 
+def _met(walk: DataFrame, both: DataFrame) -> DataFrame:
+    """walk joined with the edges at its nodes; edges of a node with over HOT_NODE ones are dealt over that many salts, which its walks repeat."""
+    hot = both.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT_NODE).cast("int").alias("parts")).where("parts > 1").withColumnRenamed("a", "node")
+    parts = F.coalesce("parts", F.lit(1))
+    there = both.withColumnRenamed("a", "node").join(F.broadcast(hot), "node", "left").withColumn("salt", F.pmod(F.xxhash64("edge_id"), parts).cast("int")).drop("parts")
+    here = walk.join(F.broadcast(hot), "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return here.join(there, ["node", "salt"]).drop("salt")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, relation_types: list[str] | None = None, limit: int | None = 200) -> DataFrame:
     """(seed, node, edge_count, relation_types, relation_confidence_avg) over undirected paths of 1 to hops different edges.
 
@@ -172,7 +183,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, relation_types: li
     levels = [walk]
     for _ in range(1, max(1, hops)):
         walk = (
-            walk.join(both.withColumnRenamed("a", "node"), "node")
+            _met(walk, both)
             .where(~F.array_contains("edges", F.col("edge_id")))
             .select("seed", F.col("b").alias("node"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("types", F.col("relation_type")).alias("types"), (F.col("total") + F.col("c")).alias("total"))
         )
