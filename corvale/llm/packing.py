@@ -2,20 +2,28 @@
 
 Documents become pieces of at most ``capacity`` tokens. Whole sequences are emitted at
 once. Of the rest each partition packs its own pieces best-fit, longest first, and emits
-the bins that are nearly full. Underfull bins then climb a tree: the bins of ``FAN_IN``
-nodes meet in one, where they count as items of a further best-fit round, until one node
-is left. Only underfull bins climb, so a node sees few rows; if a level would still give a
-node more than ``NODE_ROWS`` pieces, it is dealt over more nodes, which costs sequences
-but never memory.
+the bins that are nearly full. Underfull bins then climb a tree as rows of (bin, fill): the
+bins of ``FAN_IN`` nodes meet in one, where they count as items of a further best-fit
+round, until one node is left. Their pieces stay where they are and learn at the end where
+their bin went.
+
+A node's memory is bounded without any loss. After a best-fit round a node has at most one
+bin that is half full or less, and two fuller ones never fit together; so no more bins of
+any one fill can find a partner than there are bins of at most half left in the whole
+level, and the others of that fill are closed. Bins that not even the least filled one left
+fits into are closed too.
 
 Edge cases: a null or empty text is one piece with the end token alone. A text of exactly
-a multiple of the capacity has whole pieces only. Repeated rows are packed each. Tables
-without rows give no rows; other columns are ignored.
+a multiple of the capacity has whole pieces only. A text with a very long run of blanks is
+encoded by merge rounds, since the compiled splitter does not take it. Repeated rows and
+rows with null doc_ids are packed each. Tables without rows give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,15 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.llm.bpe import byte_letters, default_tokenizer
+from corvale.llm.bpe import byte_letters, default_tokenizer, vocabulary
 from corvale.llm.common import binary_column, table, written
 
 CAPACITY = 2048
 END = 0
 FAN_IN = 8
-NODE_ROWS = 1_000_000
+#: Pieces that a partition packs at a time.
+LOCAL_ROWS = 1_000_000
+#: Characters of a run of blanks beyond which the compiled splitter may run out of stack.
+LONG_BLANKS = 1 << 16
+_LONG_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG_BLANKS)
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 PACKED = f"{PIECE}, bin long, offset long, node long, done boolean"
+MOVED = "old long, bin long, shift long, fill long, node long, done boolean"
 
 
 @lru_cache(maxsize=2)
@@ -51,6 +64,16 @@ def fast_encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), set(added)
 
 
+def ids_of(text: str, path: str) -> np.ndarray:
+    """The ids of one whole text, with the end token."""
+    if len(text) >= LONG_BLANKS and _LONG_RUN.search(text):
+        ids = vocabulary(path).encode_batch([text])[0]
+    else:
+        encoder, special = fast_encoder(path)
+        ids = encoder.encode_to_numpy(text, allowed_special=special)
+    return np.append(np.asarray(ids, dtype="<u4"), np.array([END], dtype="<u4"))
+
+
 def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter."""
     first = tokens % capacity or min(tokens, capacity)
@@ -61,7 +84,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, max_bytes: int
     """The pieces of all whole texts, each with a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, special = fast_encoder(path)
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             step = max(1, int(batch.num_rows * min(1.0, max_bytes / max(1, batch.nbytes))))
@@ -69,7 +91,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, max_bytes: int
                 part = pa.Table.from_batches([batch.slice(at, step)])
                 out: list[tuple] = []
                 for doc_id, text in zip(part["doc_id"].to_pylist(), binary_column(part, "text")):
-                    ids = np.append(np.asarray(encoder.encode_to_numpy(text.decode(), allowed_special=special), dtype="<u4"), np.array([END], dtype="<u4"))
+                    ids = ids_of(text.decode(), path)
                     for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
                         out.append((doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()), uid))
                         uid += 1
@@ -103,73 +125,87 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def repack(rows: pa.Table, capacity: int, slack: int, last: bool) -> pa.Table:
-    """Packs the bins of rows, each as one item, into fewer; done marks those that are nearly full, or all."""
-    length, old, offset = (rows[c].to_numpy() for c in ("length", "bin", "offset"))
-    names, which = np.unique(old, return_inverse=True)
-    fill = np.bincount(which, weights=length, minlength=len(names)).astype(np.int64)
-    bins, offsets = map(np.array, best_fit(fill.tolist(), capacity))
-    total = np.bincount(bins, weights=fill).astype(np.int64)
+def fit_local(rows: pa.Table, node: int, capacity: int, slack: int) -> pa.Table:
+    """The pieces of a partition with their bins; done marks those in nearly full ones."""
+    length, uid = rows["length"].to_numpy(), rows["uid"].to_numpy()
+    bins, offsets = map(np.array, best_fit(length.tolist(), capacity))
+    total = np.bincount(bins, weights=length).astype(np.int64)
     name = np.full(len(total), np.iinfo(np.int64).max)
-    np.minimum.at(name, bins, names)
-    done = np.full(len(old), True) if last else (total >= capacity - slack)[bins[which]]
-    new = {"bin": name[bins[which]], "offset": offset + offsets[which], "done": done}
-    for column, values in new.items():
-        rows = rows.set_column(rows.schema.get_field_index(column), column, pa.array(values))
+    np.minimum.at(name, bins, uid)
+    more = {"bin": name[bins], "offset": offsets, "node": np.full(len(uid), node), "done": (total >= capacity - slack)[bins]}
+    for column, values in more.items():
+        rows = rows.append_column(column, pa.array(values))
     return rows
 
 
-def _climb(capacity: int, slack: int, last: bool):
-    return lambda rows: repack(rows, capacity, slack, last)
+def meet(rows: pa.Table, capacity: int, slack: int, small: int) -> pa.Table:
+    """The bins that meet in a node as items of one round: where each goes, and how full that is then.
 
+    small: bins of at most half the capacity in the whole level; more bins of any one larger fill find no partner."""
+    old, fill = rows["bin"].to_numpy(), rows["fill"].to_numpy()
+    order = np.lexsort((old, fill))
+    sorted_fill = fill[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_fill, sorted_fill)
+    within = np.empty(len(order), dtype=np.int64)
+    within[order] = rank
+    items = (2 * fill <= capacity) | (within < small)
+    bins, offsets = (np.array(x, dtype=np.int64) for x in best_fit(fill[items].tolist(), capacity))
+    total = np.bincount(bins, weights=fill[items]).astype(np.int64)
+    name = np.full(len(total), np.iinfo(np.int64).max)
+    np.minimum.at(name, bins, old[items])
+    bin_, shift, full = old.copy(), np.zeros(len(old), dtype=np.int64), fill.copy()
+    bin_[items], shift[items], full[items] = name[bins], offsets, total[bins]
+    done = ~items | (full >= capacity - slack)
+    return pa.table({"old": old, "bin": bin_, "shift": shift, "fill": full, "node": rows["node"], "done": done})
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, fan_in: int = FAN_IN, node_rows: int = NODE_ROWS) -> DataFrame:
+
+def _meeting(capacity: int, slack: int, small: int):
+    return lambda rows: meet(rows, capacity, slack, small)
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, fan_in: int = FAN_IN, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     slack = capacity // 64
     cut = written(pieces(docs, path, capacity), "pieces")
     whole = cut.where(F.col("length") == capacity).withColumns({"bin": F.col("uid"), "offset": F.lit(0).cast("long")})
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            n = rows.num_rows
-            for name, values in (("bin", rows["uid"]), ("offset", pa.array(np.zeros(n, dtype=np.int64))), ("node", pa.array(np.full(n, node))), ("done", pa.array(np.zeros(n, dtype=bool)))):
-                rows = rows.append_column(name, values)
-            yield from repack(rows, capacity, slack, False).combine_chunks().to_batches()
-
         node, held, count = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 count += batch.num_rows
-            if count >= node_rows:
-                yield from flush(held)
+            if count >= local_rows:
+                yield from fit_local(pa.Table.from_batches(held), node, capacity, slack).combine_chunks().to_batches()
                 held, count = [], 0
         if held:
-            yield from flush(held)
+            yield from fit_local(pa.Table.from_batches(held), node, capacity, slack).combine_chunks().to_batches()
 
-    level = written(cut.where(F.col("length") < capacity).mapInArrow(local, PACKED), "packed")
-    finished = [level.where("done")]
-    nodes = None
+    packed = written(cut.where(F.col("length") < capacity).mapInArrow(local, PACKED), "packed")
+    bins = packed.where("not done").groupBy("bin").agg(F.sum("length").alias("fill"), F.max("node").alias("node"))
+    moves: DataFrame | None = None
     while True:
-        rest = level.where("not done")
-        rows, top = rest.agg(F.count(F.lit(1)), F.max("node")).first()
+        rows, top, least, small = bins.agg(F.count(F.lit(1)), F.max("node"), F.min("fill"), F.count_if(2 * F.col("fill") <= capacity)).first()
         if not rows:
             break
-        groups = max(1, top // fan_in + 1, -(-rows // node_rows))
-        last = groups == 1 or (nodes is not None and groups >= nodes)
-        nodes = groups
-        up = rest.withColumn("node", F.floor(F.col("node") / fan_in).cast("long") if groups == top // fan_in + 1 else F.pmod(F.xxhash64("bin"), F.lit(groups)))
-
-        level = written(up.groupBy("node").applyInArrow(_climb(capacity, slack, last), PACKED), "packed")
-        finished.append(level.where("done"))
-        if last:
+        up = bins.where(F.col("fill") <= capacity - least).withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
+        moved = written(up.groupBy("node").applyInArrow(_meeting(capacity, slack, small), MOVED), "moved")
+        if moves is None:
+            moves = moved.select("old", "bin", "shift")
+        else:
+            then = moved.select(F.col("old").alias("bin"), F.col("bin").alias("next"), F.col("shift").alias("more"))
+            moves = moves.join(then, "bin", "left").select("old", F.coalesce("next", "bin").alias("bin"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+        if top < fan_in:
             break
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"]
-    out = whole.select(*columns)
-    for part in finished:
-        out = out.unionByName(part.select(*columns))
-    return out
+        bins = moved.where("not done").groupBy("bin").agg(F.max("fill").alias("fill"), F.max("node").alias("node"))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    out = whole.select(*columns, F.col("bin").alias("sequence_id"), "offset").unionByName(packed.where("done").select(*columns, F.col("bin").alias("sequence_id"), "offset"))
+    rest = packed.where("not done")
+    if moves is None:
+        return out.unionByName(rest.select(*columns, F.col("bin").alias("sequence_id"), "offset"))
+    goes = moves.select(F.col("old").alias("bin"), F.col("bin").alias("next"), "shift")
+    climbed = rest.join(goes, "bin", "left").select(*columns, F.coalesce("next", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return out.unionByName(climbed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

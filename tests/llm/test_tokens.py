@@ -68,7 +68,7 @@ def packed(spark, texts, **more):
     return packing.pack(frame(spark, texts), bpe.default_tokenizer(), **more).collect()
 
 
-@pytest.mark.parametrize("more", [{}, {"capacity": 64, "fan_in": 2}, {"capacity": 64, "fan_in": 2, "node_rows": 5}])
+@pytest.mark.parametrize("more", [{}, {"capacity": 64, "fan_in": 2}, {"capacity": 64, "fan_in": 2, "local_rows": 5}])
 def test_packing(spark, library, more):
     capacity = more.get("capacity", 2048)
     texts = TEXTS + [" ".join(["tok"] * n) for n in (capacity - 1, capacity, 2 * capacity - 1, *range(1, 90))]
@@ -92,8 +92,7 @@ def test_packing(spark, library, more):
             assert offset == at
             at += length
         assert at <= capacity
-    if "node_rows" not in more:
-        assert len(fill) <= 1.05 * math.ceil(sum(r["length"] for r in rows) / capacity) + 1
+    assert len(fill) <= 1.05 * math.ceil(sum(r["length"] for r in rows) / capacity) + 1
 
 
 def test_best_fit_uses_the_fullest_bin():
@@ -102,6 +101,38 @@ def test_best_fit_uses_the_fullest_bin():
     assert packing.cuts(10, 4) == [(0, 2), (2, 4), (6, 4)] and packing.cuts(8, 4) == [(0, 4), (4, 4)] and packing.cuts(1, 4) == [(0, 1)]
 
 
+def test_packing_of_odd_rows(spark, library):
+    """Null ids and repeated rows are packed each; names of further columns clash with those inside."""
+    rows = [(None, "same text", None, "x", 1), (None, "same text", None, "x", 1), (1, None, None, "x", 1), (1, "same text", None, "x", 2)]
+    found = packing.pack(spark.createDataFrame(rows, DOCS), bpe.default_tokenizer()).collect()
+    n = len(library.encode("same text", add_special_tokens=False).ids) + 1
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in found) == [(-1, n), (-1, n), (1, 1), (1, n)]
+    assert len({r["sequence_id"] for r in found}) == 1 and sorted(r["offset"] for r in found)[0] == 0
+
+
+@pytest.mark.parametrize("unit, times", [(" ", 2_000_000), ("\n", 2_000_000), ("a", 2_000_000), (" \t", 700_000), ("\u00a0 ", 700_000), ("word   ", 300_000)])
+def test_ids_of_very_long_runs(library, unit, times):
+    text = "start" + unit * times + "end of it"
+    assert packing.ids_of(text, bpe.default_tokenizer()).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_survives_a_run_of_blanks(spark, library):
+    text = "a" + " " * 1_200_000 + "b"
+    found = packed(spark, [text, "tail"])
+    assert sum(r["length"] for r in found if r["doc_id"] == 0) == len(library.encode(text, add_special_tokens=False).ids) + 1
+
+
+def test_bins_that_meet_keep_the_least_number_of_sequences():
+    """Closing fills beyond the number of small bins leaves the number of sequences as it is without closing."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        fill = np.append(rng.choice([40, 45, 50, 55], 60), rng.integers(1, 33, rng.integers(0, 5))).astype(np.int64)
+        rows = packing.pa.table({"bin": np.arange(len(fill)), "fill": fill, "node": np.zeros(len(fill), dtype=np.int64)})
+        small = int((2 * fill <= 64).sum())
+        ends = [packing.meet(rows, 64, 1, n) for n in (small, len(fill))]
+        assert len(set(ends[0]["bin"].to_pylist())) == len(set(ends[1]["bin"].to_pylist()))
+
+
 def test_packing_of_an_empty_table(spark):
     assert packed(spark, []) == []
 
