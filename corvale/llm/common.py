@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,30 +23,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: that of spark.checkpoint.dir. Only a local session may do without
+    that setting and has a temporary folder then; on a cluster executors could not read one, so that is an error."""
     context = spark.sparkContext
     named = context._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvale-checkpoints-")
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="corvale-checkpoints-")
     context.setCheckpointDir(place)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: list[str] = []
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go as soon as the action that made them ends: its rows are in the shared folder then."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut at files in the shared folder, so that a lost executor costs nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but column-wise and compressed: for wide or many rows."""
+    """As cut(), but column-wise and compressed: for wide or many rows. It also forgets how the rows were dealt, so that a
+    join with them deals both sides anew and may split hot keys while it runs."""
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    with _tidy(spark):
+        df.write.parquet(place)
+    _MADE.append(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def forget(spark: SparkSession, keep: DataFrame) -> None:
+    """Deletes the tables that written() made here so far, but for those that keep reads."""
+    used = keep.inputFiles()
+    for place in [p for p in _MADE if not any(f"/{p.rsplit('/', 1)[1]}/" in file for file in used)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(place)
+
+
 def each_batch(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str, max_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow with batches of about max_bytes of data, however Spark cuts them, so that memory is bounded by bytes, not rows."""
 

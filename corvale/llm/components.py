@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import cut
+from corvale.llm.common import cut, written
 
 
 def _pull(edges: DataFrame) -> DataFrame:
-    """(u, low): the smallest node among u and its neighbours."""
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
+    """(u, low): the smallest node among u and its neighbours. Taken map-side first and written, so that the join with the
+    edges of a hub is dealt anew and split."""
+    return written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low")), "lows")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

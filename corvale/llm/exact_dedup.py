@@ -2,10 +2,11 @@
 
 A text's digest is SHA-256 of the text without ASCII blanks. A frequent-items
 sketch, Spark's ``approx_top_k`` (a Misra-Gries summary with bounded error, merged
-map-side), names the digests that may hold more than 1/1024 of the rows. Their
-winners and sizes are counted exactly, with partial aggregation, and go out as a
-broadcast of at most ``SKETCH_K`` rows; rows of those groups are marked map-side and
-never shuffled. All other digests take an ordinary shuffle on the digest.
+map-side), names the digests that may hold more than 1/1024 of the rows; there are at most
+``SKETCH_K`` of them. Their winners and sizes are counted exactly, with partial aggregation,
+and go out as a broadcast; rows of those groups are marked, or the losing ones removed,
+map-side and never shuffled. All other digests take an ordinary shuffle: winners and sizes
+by partial aggregation, joined back to the rows, in which hot keys are split.
 
 Edge cases: a null text counts as empty, so all null, empty and blank texts form one
 group. Null doc_ids lose to any other on ties. Repeated rows of one doc_id count as
@@ -19,15 +20,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.llm.common import BLANKS, cut, table
+from corvale.llm.common import BLANKS, cut, table, written
 
-#: Frequent digests that the sketch reports at most; bounds the broadcast.
-SKETCH_K = 128
-#: Digests that a sketch tracks; its count error is about 1/1000 of the rows.
-SKETCH_ITEMS = 4096
+#: Frequent digests that the sketch reports at most; bounds the broadcast. No more can hold over 1/1024 of the rows each.
+SKETCH_K = 1024
+#: Digests that a sketch tracks; its count error is about 1/12000 of the rows.
+SKETCH_ITEMS = 16384
 
 
 def _digest() -> Column:
@@ -50,34 +51,40 @@ def frequent(rows: DataFrame) -> DataFrame:
     return sketch.select("n", F.inline("top")).where((F.col("count") > 1) & (F.col("count") * 1024 > F.col("n"))).select(F.col("item").alias("digest"), F.col("count").alias("estimate"))
 
 
+def _order(code_points: Column) -> Column:
+    return F.struct((-code_points).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+
+
+def winners(rows: DataFrame) -> DataFrame:
+    """(digest, best, group_size) of the frequent digests of rows (digest, order): at most SKETCH_K rows."""
+    heavy = cut(frequent(rows))
+    return cut(rows.join(F.broadcast(heavy.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("group_size")))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = cut(digests(docs))
-    order = F.struct((-F.col("code_points")).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
-    heavy = cut(frequent(rows))
-    winners = cut(
-        rows.join(F.broadcast(heavy.select("digest")), "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    )
-    marked = rows.join(F.broadcast(winners), "digest", "left")
-    same = Window.partitionBy("digest")
-    light = marked.where(F.col("group_size").isNull()).withColumn("best", F.min(order).over(same)).withColumn("group_size", F.count(F.lit(1)).over(same))
-    both = marked.where(F.col("group_size").isNotNull()).unionByName(light)
+    rows = cut(digests(docs)).withColumn("order", _order(F.col("code_points")))
+    heavy = winners(rows)
+    light = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    rest = written(light.groupBy("digest").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("group_size")), "digests")
+    both = rows.join(F.broadcast(heavy), "digest").unionByName(light.join(rest, "digest"))
     return both.select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
+        F.col("best.id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("best.id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
 def keep_best(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all its columns. The smallest is taken map-side first, so that no group is hot."""
-    order = F.struct((-_code_points()).alias("longest"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-    best = docs.groupBy(_digest().alias("digest")).agg(F.min(order).alias("best"))
-    return best.select("best.row.*")
+    """One row of each group, with all its columns. Losers of frequent digests go map-side; of the others, and of rows that
+    tie, the smallest is taken by partial aggregation, so that no group is hot."""
+    rows = docs.select(_digest().alias("digest"), _order(_code_points()).alias("order"), F.struct(*docs.columns).alias("row"))
+    heavy = winners(rows.select("digest", "order"))
+    left = rows.join(F.broadcast(heavy.select("digest", "best")), "digest", "left").where(F.col("best").isNull() | F.col("order").eqNullSafe(F.col("best")))
+    best = left.groupBy("digest").agg(F.min(F.struct("order", "row")).alias("first"))
+    return best.select("first.row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
