@@ -4,14 +4,19 @@ A fingerprint has eight positional bytes. Two fingerprints that differ in at mos
 bits differ in at most two bytes, so they share at least six of eight: that is the
 guaranteed minimum. The index has postings keyed by four of the eight bytes, for the
 six choices of two of the four byte pairs; whichever two bytes differ, some choice
-avoids both, so each link meets in a posting list. For each pair of a list the shared
-positional bytes are tallied, pairs under six are dropped, and the rest are verified on
-the bits. Only distinct fingerprints enter the index; copies hang on by membership.
-
-A list with more than ``LIST_CAP`` distinct fingerprints is not paired: each member names
-itself and its one-bit neighbours in the bytes outside the key, and is linked to the
-smallest fingerprint that names the same point. Two members name a common point exactly
-if they differ in at most two bits, so that way is exact too, and linear.
+avoids both, so each link meets in a posting list. (Lists of one byte would each hold
+1/256 of all rows.) A pair comes out of each list in which it meets with the positions of
+that list; the tally joins them, completes the positions that no list showed, and counts.
+Pairs under six are dropped, and the rest are verified on the bits. Only distinct
+fingerprints enter the index; copies hang on by membership.
+
+A list with more than ``LIST_CAP`` distinct fingerprints is keyed anew by six bytes, with
+each choice of two of the other four: a link shares six, so it meets in one of those lists,
+and they go into the same tally. A list of six bytes holds at most 65,536 fingerprints; one
+with more than ``FINE_CAP`` is not paired: each member names itself and its one-bit
+neighbours in the two bytes outside the key, and is linked to the smallest fingerprint that
+names the same point. Two members name a common point exactly if they differ in at most two
+bits, so that way is exact too, and linear.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like any
 other. Texts are taken whole. Repeated doc_ids keep their rows. A null doc_id gets the
@@ -21,6 +26,7 @@ component of its fingerprint. Tables without rows give no rows; other columns ar
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.llm.common import binary_column, cut, each_batch, table
+from corvale.llm.common import binary_column, cut, each_batch, table, written
 from corvale.llm.components import components
 
 SEED = 42
-LIST_CAP = 256
+#: Members of a list of four, and of six bytes, up to which it is paired.
+LIST_CAP = 64
+FINE_CAP = 512
 MAX_BITS = 2
 MIN_BYTES = 6
 
@@ -72,58 +80,87 @@ def _byte(column, position: int):
     return F.shiftrightunsigned(column, 8 * position).bitwiseAND(F.lit(0xFF))
 
 
-def _shared(x, y):
-    """How many positional bytes two fingerprints share."""
-    return sum((_byte(x.bitwiseXOR(y), i) == 0).cast("int") for i in range(8))
+def _equal_positions(x, y):
+    """Bit i is set if two fingerprints share positional byte i."""
+    return sum(F.when(_byte(x.bitwiseXOR(y), i) == 0, 1 << i).otherwise(0) for i in range(8))
 
 
-def _pair_masks() -> list[int]:
-    """Key masks of the six posting kinds: two of the four byte pairs each."""
-    return [(0xFFFF << 16 * i) | (0xFFFF << 16 * j) for i, j in combinations(range(4), 2)]
+#: Positions (as bits) of the six kinds of lists of four bytes, and for each kind those of its lists of six.
+COARSE = [(3 << 2 * i) | (3 << 2 * j) for i, j in combinations(range(4), 2)]
+FINE = {kept: [kept | 1 << i | 1 << j for i, j in combinations([p for p in range(8) if not kept >> p & 1], 2)] for kept in COARSE}
 
 
-def _signed(mask: int) -> int:
+def _bits(kept: int) -> int:
+    """The signed 64-bit mask of the bytes at the positions."""
+    mask = sum(0xFF << 8 * p for p in range(8) if kept >> p & 1)
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(distinct: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that connect all pairs within two bits.
+def _keyed(rows: DataFrame, kinds: list[int]) -> DataFrame:
+    """(fp, kept, key): a posting for each kind of list."""
+    return rows.select("fp", F.inline(F.array(*[F.struct(F.lit(k).alias("kept"), F.col("fp").bitwiseAND(F.lit(_bits(k))).alias("key")) for k in kinds])))
+
+
+def _with_sizes(postings: DataFrame) -> DataFrame:
+    """The postings of lists with two members at least, with their number."""
+    sizes = written(postings.groupBy("kept", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "lists")
+    return written(postings.join(sizes, ["kept", "key"]), "postings")
+
+
+def _pairs(postings: DataFrame) -> DataFrame:
+    """(a, b, kept): all pairs of each list."""
+    x, y = postings.alias("x"), postings.alias("y")
+    met = (F.col("x.kept") == F.col("y.kept")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
+    return x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), "x.kept")
 
-    From short posting lists all linked pairs; from long ones links that span the same components."""
-    masks = [_signed(m) for m in _pair_masks()]
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    postings = distinct.select("fp", F.inline(kinds))
-    sizes = postings.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cut(postings.join(sizes, ["kind", "key"]))
-    short = shared.where(F.col("members") <= list_cap).select("kind", "key", "fp")
-    x, y = F.col("x.fp"), F.col("y.fp")
-    pairs = (
-        short.alias("x")
-        .join(short.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.key") == F.col("y.key")) & (x < y) & (_shared(x, y) >= MIN_BYTES) & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS))
-        .select(x.alias("a"), y.alias("b"))
-    )
-    long_lists = shared.where(F.col("members") > list_cap)
+
+def tally(pairs: DataFrame) -> DataFrame:
+    """(a, b, shared): the positional bytes that each pair shares; those of its lists are known, the others are looked up."""
+    seen = pairs.groupBy("a", "b").agg(F.bit_or("kept").alias("kept"))
+    return seen.select("a", "b", F.bit_count(F.col("kept").bitwiseOR(_equal_positions(F.col("a"), F.col("b")))).alias("shared"))
+
+
+def _stars(postings: DataFrame) -> DataFrame:
+    """(a, b): links that join all members of a list within two bits, by the points that they name."""
     bits = F.sequence(F.lit(0), F.lit(63))
-    flips = F.transform(F.filter(bits, lambda i: F.expr("element_at(array(%s), kind + 1)" % ", ".join(f"{m}L" for m in masks)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    points = long_lists.select("kind", "key", "fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
-    lowest = points.groupBy("kind", "key", "point").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("named")).where("named > 1")
-    stars = points.join(lowest, ["kind", "key", "point"]).where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    free = F.filter(bits, lambda i: F.col("kept").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.floor(i / 8).cast("int"))) == 0)
+    flips = F.transform(free, lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    points = postings.select("kept", "key", "fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
+    lowest = written(points.groupBy("kept", "key", "point").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("named")).where("named > 1"), "points")
+    return points.join(lowest, ["kept", "key", "point"]).where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
 
 
-def _rooted(rows: DataFrame, list_cap: int) -> DataFrame:
+def links(distinct: DataFrame, list_cap: int = LIST_CAP, fine_cap: int = FINE_CAP) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp) that connect all pairs within two bits.
+
+    From paired lists all linked pairs; from those beyond fine_cap links that span the same components."""
+    coarse = _with_sizes(_keyed(distinct, COARSE))
+    crowded = coarse.where(F.col("members") > list_cap)
+    pairs = _pairs(coarse.where(F.col("members") <= list_cap))
+    again = [_keyed(crowded.where(F.col("kept") == kept).select("fp"), kinds) for kept, kinds in FINE.items()] if not crowded.isEmpty() else []
+    stars = None
+    if again:
+        fine = _with_sizes(reduce(DataFrame.unionByName, again).distinct())
+        pairs = pairs.unionByName(_pairs(fine.where(F.col("members") <= fine_cap)))
+        stars = _stars(fine.where(F.col("members") > fine_cap))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    found = tally(pairs).where(F.col("shared") >= MIN_BYTES).where(near).select("a", "b")
+    return found if stars is None else found.unionByName(stars).distinct()
+
+
+def _rooted(rows: DataFrame, list_cap: int, fine_cap: int) -> DataFrame:
     """(fp, first_id, root) of the distinct fingerprints of rows (doc_id, fp)."""
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, list_cap)).withColumnRenamed("node", "fp")
+    roots = components(links(distinct, list_cap, fine_cap)).withColumnRenamed("node", "fp")
     return cut(distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, list_cap: int = LIST_CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, list_cap: int = LIST_CAP, fine_cap: int = FINE_CAP) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links)."""
     rows = cut(fingerprints(docs, width))
-    rooted = _rooted(rows, list_cap)
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    rooted = _rooted(rows, list_cap, fine_cap)
+    smallest = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -132,12 +169,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A row is known by doc_id and text; of rows alike in both the smallest by further columns stays."""
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
-    rows = cut(fingerprints(docs.withColumn("__key", key), keys=["__key"]))
-    rooted = _rooted(rows, LIST_CAP).select("fp", "root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__key").alias("key")))
-    stay = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
-    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
-    return kept.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    keyed = docs.select("doc_id", "text", key.alias("key"), F.struct(*docs.columns).alias("row"))
+    rows = cut(fingerprints(keyed, keys=["key"]))
+    rooted = _rooted(rows, LIST_CAP, FINE_CAP).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    stay = rows.join(rooted, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("key"))
+    kept = keyed.select("key", "row").join(stay, "key", "left_semi")
+    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

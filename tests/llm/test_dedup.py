@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corvale.llm import exact_dedup, lattice, simhash
+from corvale.llm import common, exact_dedup, lattice, simhash
 from corvale.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, kept boolean, digest string, stay_id int"
@@ -85,13 +85,13 @@ def test_fingerprints_equal_the_definition():
         assert simhash.fingerprint((text or "").encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("cap", [256, 1])
-def test_simhash_components(spark, cap):
+@pytest.mark.parametrize("caps", [(64, 512), (1, 512), (1, 1)])
+def test_simhash_components(spark, caps):
     rng = np.random.default_rng(5)
     base = [" ".join(f"w{rng.integers(0, 10**6)}" for _ in range(120)) for _ in range(15)]
     texts = base + [b.replace("w1", "W1", 1) for b in base[:5]] + [b + " tail" for b in base] + [None, "", "x"]
     rows = list(enumerate(texts))
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_frame(spark, rows), list_cap=cap).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_frame(spark, rows), list_cap=caps[0], fine_cap=caps[1]).collect()}
     prints = {i: slow_fingerprint(t) for i, t in rows}
     assert found == brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 2)
 
@@ -109,13 +109,56 @@ def test_links_of_close_fingerprints_by_both_ways(spark):
     distinct = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
     want = brute_components({s: p for p, s in signed.items()}, lambda a, b: (a ^ b).bit_count() <= 2)
     sizes = lambda names: sorted(list(names).count(n) for n in set(names))
-    for cap in (256, 4):
-        roots = {r["node"]: r["root"] for r in components(simhash.links(distinct, cap)).collect()}
+    every = {(min(a, b), max(a, b)) for a, p in zip(signed.values(), signed) for b, q in zip(signed.values(), signed) if a != b and (p ^ q).bit_count() <= 2}
+    for caps in ((256, 512), (4, 512), (4, 2)):
+        found = simhash.links(distinct, *caps)
+        if caps[1] == 512:
+            assert {tuple(r) for r in found.collect()} == every
+        roots = {r["node"]: r["root"] for r in components(found).collect()}
         got = {s: roots.get(s, s) for s in signed.values()}
         assert got == want
         assert sizes(got.values()) == sizes(want.values())
 
 
+def test_tally_counts_the_positions_of_the_lists(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(a) ^ sum(int(rng.integers(1, 256)) << 8 * int(p) for p in rng.choice(8, rng.integers(0, 5), replace=False))) for a in rng.integers(0, 1 << 62, 60)]
+    pairs = [(a, b if b < 1 << 63 else b - (1 << 64)) for a, b in pairs]
+    same = lambda a, b: [p for p in range(8) if not (a ^ b) >> 8 * p & 0xFF]
+    met = [(a, b, k) for a, b in pairs for k in simhash.COARSE if all(p in same(a, b) for p in range(8) if k >> p & 1)]
+    found = simhash.tally(spark.createDataFrame(met, "a long, b long, kept int")).collect()
+    assert {(r["a"], r["b"]): r["shared"] for r in found} == {(a, b): len(same(a, b)) for a, b, _ in met}
+
+
+def test_simhash_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d"), (None, "A b c d"), (4, "a b c d"), (4, "a b c d"), (2, "other words to read"), (None, "alone in the world of words"), (9, None), (8, "")]
+    found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs_frame(spark, rows)).collect()), key=repr)
+    assert found == sorted([(None, 4), (None, 4), (4, 4), (4, 4), (2, 2), (None, None), (9, 8), (8, 8)], key=repr)
+
+
+def test_exact_group_of_a_hundredth_outside_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "frequent", lambda rows: rows.select("digest").limit(0))
+    rows = [(n, "often met" if n % 100 == 0 else f"text {n}") for n in range(2000)]
+    assert {tuple(r) for r in exact_dedup.groups(docs_frame(spark, rows)).collect()} == brute_groups(rows)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    class Absent:
+        isDefined = staticmethod(lambda: False)  # noqa: N815
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                sc = staticmethod(lambda: type("c", (), {"getCheckpointDir": staticmethod(lambda: Absent)}))
+
+        conf = type("conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_simhash_keep_first(spark):
     kept = simhash.keep_first(docs_frame(spark, [(5, "a b c d"), (3, "A b c d"), (7, "else where now")]))
     assert {r["doc_id"] for r in kept.collect()} == {3, 7}
