@@ -188,49 +188,116 @@ def test_slots_with_small_buckets_and_odd_rows(spark):
 def brute_lm(texts):
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t in texts.items()}
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
-    count = collections.Counter(w for i in train for w in tokens[i])
-    pairs = collections.Counter(p for i in train for p in zip(["<s>", *tokens[i]], tokens[i]))
-    return tokens, set(train), count, pairs
+    grams = collections.Counter(g for i in train for n in (1, 2, 3) for g in zip(*(["<s>", *tokens[i]][k:] for k in range(n))))
+    return tokens, set(train), grams
+
+
+def brute_probability(grams, n, v, history, w, shares):
+    """The interpolated probability by its definition; history: up to two words."""
+    if not history:
+        return (grams[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+    after = sum(c for g, c in grams.items() if len(g) == len(history) + 1 and g[:-1] == history)
+    lower = brute_probability(grams, n, v, history[1:], w, shares)
+    if not after:
+        return lower
+    share = shares[len(history) - 1][int(math.log2(after))]
+    return (1 - share) * grams[(*history, w)] / after + share * lower
+
+
+def brute_shares(tokens, train, grams, n, v):
+    after = collections.Counter()
+    for g, c in grams.items():
+        if len(g) > 1:
+            after[g[:-1]] += c
+    shares = []
+    for words in (1, 2):
+        total = collections.defaultdict(lambda: np.zeros(len(backoff.GRID)))
+        for i in train:
+            line = ["<s>", *tokens[i]]
+            for at in range(words, len(line)):
+                history, w = tuple(line[at - words : at]), line[at]
+                low = (grams[(w,)] - 0.5) / (n + 0.5 * (v + 1) - 1)
+                rest = after[history[-1:]] - 1
+                if words == 2:
+                    share = shares[0][int(math.log2(rest))] if rest > 0 else 1.0
+                    low = (1 - share) * (grams[(*history[-1:], w)] - 1) / max(rest, 1) + share * low
+                    rest = after[history] - 1
+                if rest > 0:
+                    seen = (grams[(*history, w)] - 1) / rest
+                    total[int(math.log2(rest))] += [math.log10((1 - g) * seen + g * low) for g in backoff.GRID]
+        best, last = [None] * backoff.CLASSES, None
+        for size, sums in total.items():
+            sums = np.round(sums, 3)
+            best[size] = backoff.GRID[max(k for k in range(len(sums)) if sums[k] == sums.max())]
+        for k in range(backoff.CLASSES):
+            last = best[k] = best[k] if best[k] is not None else last
+        known = next((x for x in best if x is not None), backoff.GRID[-1])
+        shares.append([known if x is None else x for x in best])
+    return shares
 
 
 def test_lm_scores(spark):
     rng = np.random.default_rng(1)
     words = [f"w{n}" for n in range(40)]
-    texts = {i: " ".join(words[int(k)] for k in (rng.zipf(1.5, rng.integers(0, 60)) - 1) % 40) for i in range(200)}
-    texts |= {200: None, 201: "", 202: "Unseen W1 w2", 203: texts[3], 204: "w1 " * 5000}
+    texts = {i: " ".join(words[int(k)] for k in (rng.zipf(1.5, rng.integers(0, 60)) - 1) % 40) for i in range(120)}
+    texts |= {200: None, 201: "", 202: "Unseen W1 w2 w3", 203: texts[3], 204: "w1 " * 1500, 205: " ".join([*words] * 30)}
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in texts.items()], "doc_id long, text string, score double")
     found = {r["doc_id"]: r for r in backoff.scores(docs, block_bytes=3000, range_bytes=2000).collect()}
-    one = {r["doc_id"]: r for r in backoff.scores(docs).collect()}
-    tokens, train, count, pairs = brute_lm(texts)
+    one = {r["doc_id"]: r for r in backoff.scores(docs.coalesce(1)).collect()}
+    tokens, train, grams = brute_lm(texts)
+    count = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "<s>"}
+    grams = {g: c for g, c in grams.items() if g != ("<s>",)}
+    grams = collections.Counter(grams)
     n, v = sum(count.values()), len(count)
+    shares = brute_shares(tokens, train, grams, n, v)
+    cache = {}
     held = better = 0.0
     for i in texts:
         r = found[i]
         assert r["held_out"] == (i not in train) and r["n_tokens"] == len(tokens[i]) and r["train_tokens"] == n
-        assert r["n_known"] == sum(count[w] > 0 for w in tokens[i])
-        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
+        assert r["n_known"] == sum(w in count for w in tokens[i])
+        base = sum(math.log10((count.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert one[i]["score"] == pytest.approx(r["score"], rel=1e-9)
+        line, score = ["<s>", *tokens[i]], 0.0
+        for at in range(1, len(line)):
+            key = (*line[max(0, at - 2) : at], line[at])
+            if key not in cache:
+                cache[key] = math.log10(brute_probability(grams, n, v, key[:-1], key[-1], shares))
+            score += cache[key]
+        assert r["score"] == pytest.approx(score, rel=1e-9)
+        assert one[i]["score"] == pytest.approx(score, rel=1e-9)
         if i in train:
             held, better = held + base, better + r["score"]
     assert better > held
 
 
+def test_lm_readers_come_to_the_same_state():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 9, n)).encode() for n in (0, 1, 2, 3, 50, 700)]
+    block = backoff.Block.of_texts(np.arange(6), np.array([True, True, False, True, True, False]), texts)
+    totals = block.counts([np.arange(len(x)) for x in (block.word_keys, block._pairs, block._triples)])
+    known = backoff.Automaton(block, *totals, int(totals[0].sum()), int((totals[0] > 0).sum()))
+    shares = (np.full(64, 0.4), np.full(64, 0.7))
+    whole = known.traverse(shares, 10_000)
+    for segment in (2, 3, 7, 64):
+        assert known.traverse(shares, segment) == pytest.approx(whole, rel=1e-12)
+
+
 def test_lm_probabilities_sum_to_one():
-    """The next words after a history, unknown ones as one class, share all of the probability."""
-    texts = [["a", "b", "a", "c"], ["a", "b", "b"], ["c", "a"]]
-    names = ["a", "b", "c", "zz", None]  # zz is unknown, None the end
-    count = collections.Counter(w for t in texts for w in [*t, None])
-    seen = collections.Counter(p for t in texts for p in zip(t, [*t[1:], None]))
-    words = np.array([count[n] for n in names], dtype=np.uint64)
-    total = 0.0
-    for w, name in enumerate(names):
-        pair = np.array([count["a"], seen[("a", name)]], dtype=np.uint64)  # the first token only sets the state
-        known = backoff.Automaton(np.array([2]), np.array([0, w]), words, pair, sum(count.values()), len(count))
-        alone = backoff.Automaton(np.array([1]), np.array([0]), words, pair[:1], sum(count.values()), len(count))
-        shares = np.full(backoff.CLASSES, 0.3)
-        total += 10 ** (known.traverse(shares)[0] - alone.traverse(shares)[0])
-    assert total == pytest.approx(1.0)
+    """The next words after any history, unknown ones as one class, share all of the probability."""
+    lines = [["a", "b", "a", "c"], ["a", "b", "b"], ["c", "a"]]
+    grams = collections.Counter(g for t in lines for k in (1, 2, 3) for g in zip(*(["<s>", *t, None][j:] for j in range(k))))
+    del grams[("<s>",)]
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    shares = [[0.3] * 64, [0.6] * 64]
+    for history in ([], ["a"], ["b"], ["a", "b"], ["c", "c"], ["zz", "a"], ["b", "a", "zz"]):
+        line = ("<s>", *history)
+        assert sum(brute_probability(grams, n, v, line[-2:], w, shares) for w in ("a", "b", "c", "zz", None)) == pytest.approx(1.0)
+        block = backoff.Block.of_texts(np.arange(4), np.array([True] * 3 + [False]), [" ".join(t).encode() for t in (*lines, history)])
+        totals = block.counts([np.arange(len(x)) for x in (block.word_keys, block._pairs, block._triples)])
+        known = backoff.Automaton(block, *totals, int(totals[0].sum()), int((totals[0] > 0).sum()))
+        want = sum(math.log10(brute_probability(grams, n, v, (*line, None)[max(0, at - 2) : at], (*line, None)[at], shares)) for at in range(1, len(line) + 1))
+        assert known.traverse(tuple(map(np.array, shares)))[3] == pytest.approx(want)
 
 
 def test_lm_of_odd_tables(spark):
