@@ -122,3 +122,132 @@ def test_wrapped_licences(spark, data):
     docs = spark.createDataFrame([(1, half[0]), (2, half[1].split("\n")[1])], "doc_id long, text string").coalesce(1)
     assert {r["n_licensed"] for r in licenses.scan(docs, model).collect()} == {0}  # no run over two documents
     assert [x[:2] for x in model.scan(b"Title\n" + WRAPPED["bsd"].encode())] == [(3, "bsd")]
+
+
+@pytest.fixture(scope="module")
+def notices(data):
+    return licenses.train(data[0])
+
+
+def families_of(model, text):
+    return [x[1] for x in model.scan(text.encode())]
+
+
+def test_notices_of_every_family(notices):
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            for width in (3, 8, 12, 1000):
+                lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                for form in ("\n".join(lines), "\n".join(f" * {x}" for x in lines), "Some words before.\n\n" + "\n".join(f"# {x}" for x in lines) + "\n\nMore words."):
+                    assert families_of(notices, form) == [family], (family, form)
+
+
+NEAR_MISSES = {
+    "This work is licensed under the GNU Affero General Public License, version 3.": ["agpl"],
+    "This work is licensed under the GNU Free Documentation License, version 1.3.": ["gfdl"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["lgpl"],
+    "This work is licensed under the GNU General Public License, version 2.": ["gpl"],
+    "Licensed under the Academic Free License, Version 3.0.": ["afl-3.0"],
+    "Licensed under the Academic Free License, Version 2.1.": [],
+    "Licensed under the Apache License, Version 1.1.": ["apache-1.1"],
+    "Licensed under the Apache License, Version 1.0.": [],
+    "Licensed under the Mozilla Public License, Version 1.1.": [],
+    "Licensed under the Nokia Public License, Version 2.0.": [],
+    "Licensed under the Artistic License, Version 2.0.": [],
+    "Licensed under the Foobar Public License, Version 2.0.": [],
+    "Released under the Python License.": [],
+    "Licensed under CC BY-NC-ND 4.0.": [],
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": ["cc-by"],
+}
+
+
+@pytest.mark.parametrize("text", NEAR_MISSES)
+def test_neighbours_of_known_notices(notices, text):
+    assert families_of(notices, text) == NEAR_MISSES[text]
+
+
+def test_licence_scores_against_plain_loops(notices):
+    """The regression's probability, from plain loops over words and neighbouring pairs."""
+    import zlib
+
+    paragraphs = [b"", b" ", b"Released under the MIT License.", b"MIT", "é l'été Ä -- x".encode(), b"a " * 500, *(t.encode() for ts in licenses.TEMPLATES.values() for t in ts)]
+    want = []
+    for p in paragraphs:
+        words = p.lower().split()
+        hashes = [zlib.crc32(w.strip(licenses._EDGES)) % licenses.BUCKETS for w in words]
+        score = notices.bias.astype(float).copy()
+        for k, h in enumerate(hashes):
+            pair = (h * 40503 + hashes[k + 1] * 30011 + 7) % licenses.BUCKETS + licenses.BUCKETS if k + 1 < len(hashes) else 2 * licenses.BUCKETS
+            score += (notices.weights[h].astype(float) + notices.weights[pair]) / len(words) ** 0.5
+        e = np.exp(score - score.max())
+        want.append(e / e.sum())
+    best, chance = notices.predict(paragraphs)
+    assert np.allclose(chance, [w.max() for w in want], rtol=1e-4)
+    none = len(licenses.FAMILIES) - 1
+    assert best.tolist() == [int(w.argmax()) if w.argmax() == none or w.max() >= notices.least else none for w in want]
+
+
+def test_licences_of_odd_rows(spark, notices):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Released under the MIT License."), (2, "x " * 400_000 + "Released under the MIT License." + " y" * 400_000), (3, "\n" * 100_000)]
+    found = licenses.scan(odd(spark, rows), notices).collect()
+    assert sorted((r["doc_id"] or 0, r["families"]) for r in found) == [(0, "mit"), (1, "mit"), (1, "mit"), (2, "mit"), (3, "")]
+
+
+def test_quality_scores_against_plain_loops(spark, data):
+    """Mahalanobis log-density differences by inverse and determinant, over statistics counted character by character."""
+    import math
+
+    docs, labels = data
+    model = quality.train(docs, labels)
+    texts = [r["text"] for r in docs.limit(40).collect()] + [None, "", "A b, 1! ß\nA b, 1! ß\n\nx x x"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in quality.score(frame, model).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        letters = [chr(b) for b in raw]
+        share = lambda test: math.sqrt(sum(map(test, letters)) / max(1, len(letters)))
+        upper, lower, digit = (lambda c: "A" <= c <= "Z"), (lambda c: "a" <= c <= "z"), (lambda c: "0" <= c <= "9")
+        stop, high = (lambda c: c in ".,;:?"), (lambda c: ord(c) > 127)
+        symbol = lambda c: 33 <= ord(c) < 127 and not (upper(c) or lower(c) or digit(c) or stop(c))
+        words, lines = raw.split(), raw.split(b"\n")
+        n = max(1, len(words))
+        bare = "".join(c for c in letters if not (upper(c) or lower(c) or digit(c) or stop(c) or high(c)))
+        x = np.array([
+            math.log(1 + len(words)), math.log(1 + len(raw) / n), share(upper), share(lower), share(digit), share(stop), share(symbol), share(high),
+            math.sqrt(sum(words[k] == words[k + 1] for k in range(len(words) - 1)) / n), math.log(1 + len(set(words))) / math.log(1 + n),
+            math.log(1 + len(lines)) / math.log(2 + n), math.sqrt(1 - len(set(lines)) / len(lines)), math.sqrt(len(bare.split()) / n),
+            math.log(1 + max([len(w) for w in words], default=0)),
+        ])
+        z = (x - model.centre) / model.scale
+        density = []
+        for mean, factor in zip(model.means, model.factors):
+            cov = factor @ factor.T
+            density.append(-0.5 * (z - mean) @ np.linalg.inv(cov) @ (z - mean) - 0.5 * np.linalg.slogdet(cov)[1])
+        raw_score = density[1] - density[0]
+        raw_score = math.copysign(math.sqrt(abs(raw_score)), raw_score)
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, model.slope * raw_score + model.shift)))), rel=1e-6, abs=1e-9)
+
+
+def test_toxicity_scores_against_plain_loops(spark, data):
+    """Embeddings, filters, largest activations and the logistic map, word by word."""
+    import math
+
+    docs, labels = data
+    model = toxicity.train(docs, labels)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(25).collect()] + [None, "", "one", "Ä! two", "bad " * 400]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}
+    for i, text in enumerate(texts):
+        vectors = [sum(model.embedding[b].astype(float) for b in toxicity.word_buckets(w)) for w in (text or "").encode().split()]
+        pooled = []
+        for k, (width, filters) in enumerate(zip(toxicity.WIDTHS, model.filters)):
+            for f in range(toxicity.FILTERS):
+                most = float(model.bias[k * toxicity.FILTERS + f])
+                for at in range(len(vectors)):  # windows over the end are shorter
+                    most = max(most, sum(float(vectors[at + o] @ filters[o][:, f]) for o in range(width) if at + o < len(vectors)))
+                pooled.append(most)
+        raw = float(np.dot(pooled, model.weights)) + model.shift
+        want = 1 / (1 + math.exp(-max(-40, min(40, model.slope * raw + model.offset))))
+        assert found[i]["score"] == pytest.approx(want, rel=1e-3, abs=1e-6)
+        assert found[i]["predicted"] == int(found[i]["score"] >= 0.3) and found[i]["flagged"] == (found[i]["score"] >= model.threshold("en"))
