@@ -5,11 +5,12 @@ A document descends region, rack and shard; at each level every child draws
 wins, so a child gets its weight's share. A changed weight moves documents only into or
 out of the subtree whose weight changed. A shard that is added opens a region of its
 own: the older regions keep their weights and draws, so the new shard takes rows only
-into itself and no other row moves. The law is ``key``: doc_id and the shard count decide.
+into itself and no other row moves. There is one tree for each count from ``SHARDS`` on
+(``Tree.of``), so the law is ``key``: doc_id and the shard count decide.
 
 Slots are gapless in each shard without gathering a shard in one task: a shard's rows
 are dealt over buckets by a hash of doc_id, numbered there, and each bucket starts where
-those before it end.
+those before it end. Rows without doc_id are dealt by their number in the materialised table.
 
 Edge cases: a null text has no bytes (size 8, checksum 0). A null doc_id draws like a
 key of its own. Repeated rows share a shard and get a slot each. Tables without rows
@@ -46,6 +47,14 @@ class Tree:
         racks = [tuple((s, 1.0) for s in range(at, min(at + RACK_SHARDS, shards))) for at in range(0, shards, RACK_SHARDS)]
         return Tree(tuple(tuple(racks[at : at + REGION_RACKS]) for at in range(0, len(racks), REGION_RACKS)))
 
+    @staticmethod
+    def of(shards: int, built: int = SHARDS) -> Tree:
+        """The tree of a count: even up to the count it was built for, then with a region for each shard added."""
+        tree = Tree.even(min(shards, built))
+        for _ in range(built, shards):
+            tree = tree.grown()
+        return tree
+
     def grown(self, weight: float = 1.0) -> Tree:
         """One more shard, in a region of its own."""
         new = 1 + max(s for region in self.regions for rack in region for s, _ in rack)
@@ -83,21 +92,22 @@ def place(key: Column, tree: Tree) -> Column:
     return at_region.cast("int")
 
 
-def with_slots(rows: DataFrame, shard: str, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard."""
+def with_slots(rows: DataFrame, shard: str, key: str, bucket_rows: int = BUCKET_ROWS, tie: str | None = None) -> DataFrame:
+    """Adds slot, gapless from 0 in each shard. tie: a column that tells rows with equal or null keys apart."""
+    spread = [F.lit("slot"), F.col(key)] if tie is None else [F.lit("slot"), F.col(key), F.when(F.col(key).isNull(), F.col(tie))]
     total, shards = rows.agg(F.count(F.lit(1)), F.count_distinct(shard)).first()
     buckets = max(1, -(-total // (max(1, shards) * bucket_rows)))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(buckets)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
     counts = dealt.groupBy(shard, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy(shard).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(shard, "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    number = F.row_number().over(Window.partitionBy(shard, "bucket").orderBy(key)) - 1
+    number = F.row_number().over(Window.partitionBy(shard, "bucket").orderBy(key, *([] if tie is None else [tie]))) - 1
     return dealt.withColumn("number", number).join(starts, [shard, "bucket"]).withColumn("slot", (F.col("first") + F.col("number")).cast("long")).drop("bucket", "first", "number")
 
 
 def assign(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    tree = tree or Tree.even(SHARDS)
+    tree = tree or Tree.of(SHARDS)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         F.col("doc_id"),
@@ -106,8 +116,9 @@ def assign(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
         F.lit("key").alias("law"),
         place(F.col("doc_id"), tree).alias("shard"),
         place(F.col("doc_id"), tree.grown()).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("number_in_table"),
     )
-    return with_slots(cut(rows), "shard", "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(cut(rows), "shard", "doc_id", tie="number_in_table").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,14 @@ the middle of the gap between the scores of its clean and toxic rows, held withi
 columns (threshold, flagged); lang is not an input of the score.
 
 Training takes at most ``SAMPLE`` labelled rows, by smallest hash of doc_id, toxic and
-clean ones counted apart; the driver sees their hashed words only.
+clean ones counted apart, and of either class, in the same order, those that keep the words
+within ``WORDS``; the driver sees their hashed words only, so rows and bytes are bounded.
 
 Edge cases: null, empty and blank texts have no words and score as clean. A doc_id with
 contradictory labels is not trained on. Without both classes in training every score is
 the share of label 1, or 0 without labels. A null lang takes the threshold over all.
 Repeated rows are scored each; tables without rows give no rows; further columns are kept
-by ``keep_clean`` and ignored by ``score``.
+by ``keep_clean`` and ignored by ``score``. A table without a column lang counts as null there.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.llm.common import binary_column, each_batch, held_out, offsets_of, table
+from corvale.llm.common import binary_column, each_batch, held_out, offsets_of, table, written
 from corvale.llm.quality import labelled, logistic
 
 #: Labelled rows of either class that are trained on at most.
 SAMPLE = 3_000
+#: Words of those of either class; a text that would go beyond is left out of the training, whole.
+WORDS = 700_000
 FOLDS, OUT_FOLD = 4, 2
 CUT = 0.3
 THRESHOLDS = (0.2, 0.5)
@@ -223,19 +226,38 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Column | None = None) -> Convolution:
+def _lang(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+
+
+def within(sizes: list[tuple[int, int, int]], words: int) -> set[int]:
+    """The doc_ids, of rows (doc_id, label, words) in order, that keep either class within so many words."""
+    left = {0: words, 1: words}
+    kept = set()
+    for doc_id, label, size in sizes:
+        if size <= left[label]:
+            left[label] -= size
+            kept.add(doc_id)
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Column | None = None, most_words: int = WORDS) -> Convolution:
     """Fits on labelled documents outside the held-out fold."""
     usable = ~held_out(FOLDS, OUT_FOLD) if usable is None else usable
     some = labelled(labels.where("toxic = 1"), "toxic", usable, sample).unionByName(labelled(labels.where("toxic = 0"), "toxic", usable, sample))
     some = some.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang").join(F.broadcast(some), "doc_id")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _lang(docs).alias("lang")).join(F.broadcast(some), "doc_id")
 
     def work(rows: pa.Table) -> pa.Table:
         buckets, which, lengths = batch_words(binary_column(rows, "text"))
         flat, starts = buckets[which].astype("<i4"), offsets_of(lengths)
-        return pa.table({"doc_id": rows["doc_id"], "label": rows["label"], "lang": rows["lang"], "words": pa.array([flat[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())})
+        return pa.table({"doc_id": rows["doc_id"], "label": rows["label"], "lang": rows["lang"], "n": pa.array(lengths), "words": pa.array([flat[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())})
 
-    got = each_batch(known, work, "doc_id long, label int, lang string, words binary").toArrow()
+    found = written(each_batch(known, work, "doc_id long, label int, lang string, n long, words binary"), "words")
+    sizes = found.groupBy("doc_id", "label").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # a row for each of the sample
+    kept = within([tuple(r) for r in sizes], most_words)
+    got = found.where(F.col("doc_id").isin(*kept)).drop("n").toArrow() if kept else found.limit(0).drop("n").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("words", "ascending")])
     order = np.argsort((np.array(got["doc_id"].to_pylist(), dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
     words = [np.frombuffer(w, dtype="<i4").reshape(-1, PARTS) for w in got["words"].to_pylist()]
     langs = got["lang"].to_pylist()
@@ -252,7 +274,7 @@ def score(docs: DataFrame, model: Convolution) -> DataFrame:
         limits = np.array([known.threshold(x) for x in rows["lang"].to_pylist()], dtype=float)
         return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": pa.array(found, pa.float64()), "threshold": pa.array(limits), "flagged": pa.array(found >= limits)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang", F.coalesce(held_out(FOLDS, OUT_FOLD), F.lit(False)).alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _lang(docs).alias("lang"), F.coalesce(held_out(FOLDS, OUT_FOLD), F.lit(False)).alias("held_out"))
     out = each_batch(rows, work, "doc_id long, held_out boolean, score double, threshold double, flagged boolean", 4 << 20)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", "flagged")
 
@@ -264,7 +286,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def work(rows: pa.Table) -> pa.Table:
         known = shipped.value
-        limits = np.array([known.threshold(x) for x in rows["lang"].to_pylist()], dtype=float)
+        langs = rows["lang"].to_pylist() if "lang" in names else [None] * rows.num_rows
+        limits = np.array([known.threshold(x) for x in langs], dtype=float)
         return rows.filter(pa.array(known.score(binary_column(rows, "text")) < limits)).select(names)
 
     return each_batch(docs, work, docs.schema, 4 << 20)

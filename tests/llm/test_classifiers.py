@@ -69,6 +69,21 @@ def test_stages_keep_columns_and_clean_rows(spark, data):
     assert clean.columns == docs.columns and clean.count() < docs.count()
 
 
+def test_training_words_are_bounded(spark, data):
+    assert toxicity.within([(1, 0, 5), (2, 1, 9), (3, 0, 6), (4, 0, 4), (5, 1, 2)], 10) == {1, 2, 4}
+    docs, labels = data
+    model = toxicity.train(docs, labels, most_words=2000)
+    assert model.constant is None or 0 <= model.constant <= 1
+
+
+def test_tables_without_lang(spark, data):
+    docs, labels = data
+    bare = docs.drop("lang").limit(60)
+    model = toxicity.train(bare, labels)
+    assert toxicity.score(bare, model).count() == 60
+    assert toxicity.keep_clean(bare, labels).columns == bare.columns
+
+
 def test_pooling_does_not_reach_over_texts():
     model = toxicity.Convolution(np.zeros((4, toxicity.SIZE), dtype=np.float32), [np.ones((w, toxicity.SIZE, toxicity.FILTERS), dtype=np.float32) for w in toxicity.WIDTHS], np.full(toxicity.FILTERS * 3, -9, dtype=np.float32), np.zeros(toxicity.FILTERS * 3))
     words = np.array([[1.0] * toxicity.SIZE, [2.0] * toxicity.SIZE], dtype=np.float32)

@@ -166,6 +166,28 @@ def test_sharding_against_the_tree(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
 
 
+def test_each_added_shard_takes_rows_only_into_itself(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    placed = rows.select(*[sharding.place(rows["k"], sharding.Tree.of(n)).alias(str(n)) for n in range(24, 29)]).collect()
+    for n in range(24, 28):
+        moved = [r[str(n + 1)] for r in placed if r[str(n)] != r[str(n + 1)]]
+        assert moved and set(moved) == {n}
+
+
+def test_sharding_of_null_and_repeated_ids(spark):
+    found = sharding.assign(spark.createDataFrame([(None, "a")] * 40 + [(7, "b")] * 5 + [(7, None)], "doc_id long, text string")).collect()
+    assert len(found) == 46 and len({r["shard"] for r in found if r["doc_id"] is None}) == 1 == len({r["shard"] for r in found if r["doc_id"] == 7})
+    for shard in {r["shard"] for r in found}:
+        slots = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_ids_of_null_and_repeated_rows(spark, library):
+    found = bpe.round_trip(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "a b")], "doc_id long, text string"), bpe.default_tokenizer()).collect()
+    n = len(library.encode("a b", add_special_tokens=False).ids)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in found) == [(0, n), (0, n), (1, 0), (1, n)]
+
+
 def test_changed_weights_move_rows_only_at_that_subtree(spark):
     rows = spark.range(4000).withColumnRenamed("id", "k")
     tree = sharding.Tree.even(24)
