@@ -9,14 +9,14 @@ from corvale.functions.text import canonical_identifier, fold_accents, focus_ide
 
 #: Words by which intents are told.
 WORDS = {
-    "runtime_config": "config configuration configuracion configured setting settings env environment variable variables runtime docker compose k8s kubernetes configmap helm deployment workspace retention",
-    "code": "function functions method methods class classes implementation implemented executed execute call code symbol preflight",
-    "test": "test tests fixture fixtures mock mocks spec specs",
-    "definition": "code codigo definition definicion defined function functions implement implementacion implemented implementation method methods source symbol",
-    "documentation": "api documentacion documentado documentada documentar documentation documented docs guide guides readme reference",
-    "overview": "context contexto overview resumen summary arquitectura sabes know",
-    "implementation": "execute executed execution implement implementacion implemented implementation run running flow path",
-    "where": "where donde location ubicacion",
+    "runtime_config": ("config", "configuration", "configuracion", "configured", "setting", "settings", "env", "environment", "variable", "variables", "runtime", "docker", "compose", "k8s", "kubernetes", "configmap", "helm", "deployment", "workspace", "retention"),
+    "code": ("function", "functions", "method", "methods", "class", "classes", "implementation", "implemented", "executed", "execute", "call", "code", "symbol", "preflight"),
+    "test": ("test", "tests", "fixture", "fixtures", "mock", "mocks", "spec", "specs"),
+    "definition": ("code", "codigo", "definition", "definicion", "defined", "function", "functions", "implement", "implementacion", "implemented", "implementation", "method", "methods", "source", "symbol"),
+    "documentation": ("api", "documentacion", "documentado", "documentada", "documentar", "documentation", "documented", "docs", "guide", "guides", "readme", "reference"),
+    "overview": ("context", "contexto", "overview", "resumen", "summary", "arquitectura", "sabes", "know"),
+    "implementation": ("execute", "executed", "execution", "implement", "implementacion", "implemented", "implementation", "run", "running", "flow", "path"),
+    "where": ("where", "donde", "location", "ubicacion"),
 }
 #: Signals of inventory, module, import and impact questions.
 MODULE_SIGNALS = ("modulo", "módulo", "module", "modulos", "módulos")
@@ -38,9 +38,9 @@ REVERSE_PATTERNS = (
 )
 FILE_WORDS = ("archivo", "archivos", "file", "files")
 USE_WORDS = ("importa", "importan", "imports", "imported", "usa", "usan", "use", "uses", "used")
-IMPORT_STOP_WORDS = "where is the a an in of from to used by import imported imports dependency dependencies dependencia dependencias donde dónde esta está se que qué el la los las en archivo file"
-MODULE_STOP_WORDS = "el la los las the a an de del tipo type clase class proyecto project"
-TARGET_STOP_WORDS = "todo todos toda todas los las all the"
+IMPORT_STOP_WORDS = ("where", "is", "the", "a", "an", "in", "of", "from", "to", "used", "by", "import", "imported", "imports", "dependency", "dependencies", "dependencia", "dependencias", "donde", "dónde", "esta", "está", "se", "que", "qué", "el", "la", "los", "las", "en", "archivo", "file")
+MODULE_STOP_WORDS = ("el", "la", "los", "las", "the", "a", "an", "de", "del", "tipo", "type", "clase", "class", "proyecto", "project")
+TARGET_STOP_WORDS = ("todo", "todos", "toda", "todas", "los", "las", "all", "the")
 MODULE_ANCHORS = (
     r"(?:carpeta|folder|directorio|directory|modulo|módulo|module|package)\s+(?:del?\s+|de\s+la\s+|de\s+los\s+|de\s+las\s+)?([a-z0-9_./-]+)",
     r"(?:componentes?|elements?|archivos?|files?)\s+(?:de|en|in|from|of)\s+(?:la|el|los|las|the)?\s*(?:carpeta|folder|directorio|directory|modulo|módulo|module|package)?\s*([a-z0-9_./-]+)",
@@ -66,7 +66,7 @@ COMPONENT_SIGNALS = (
 
 
 def _has_word(words: Column, kind: str) -> Column:
-    return F.arrays_overlap(words, F.array(*map(F.lit, WORDS[kind].split())))
+    return F.arrays_overlap(words, F.array(*map(F.lit, WORDS[kind])))
 
 
 def _has_text(text: Column, parts: tuple[str, ...]) -> Column:
@@ -153,7 +153,7 @@ def is_explain_query(query: Column) -> Column:
 
 def import_candidates(query: Column) -> Column:
     """Names that a question about imports may mean, and the heads of dotted ones, without stop-words."""
-    barred = F.array(*map(F.lit, IMPORT_STOP_WORDS.split()))
+    barred = F.array(*map(F.lit, IMPORT_STOP_WORDS))
     trimmed = lambda t: F.regexp_replace(F.lower(t), "^[._-]+|[._-]+$", "")
     usable = lambda t: (F.length(t) >= 3) & ~F.array_contains(barred, t)
     names = F.filter(F.transform(F.regexp_extract_all(query, F.lit("[A-Za-z_][A-Za-z0-9_.-]+"), 0), trimmed), usable)
@@ -164,7 +164,7 @@ def import_candidates(query: Column) -> Column:
 def module_name(query: Column) -> Column:
     """A module named in a question: quoted, after an anchor word, after a preposition, or any dashed name; else null."""
     text = F.lower(query)
-    barred = F.array(*map(F.lit, MODULE_STOP_WORDS.split()))
+    barred = F.array(*map(F.lit, MODULE_STOP_WORDS))
     trimmed = lambda t: F.regexp_replace(t, r"^[.,;:!?()\[\]{}]+|[.,;:!?()\[\]{}]+$", "")
     found = [F.nullif(F.regexp_extract(text, "['\"]([a-z0-9_./-]+)['\"]", 1), F.lit(""))]
     for pattern in MODULE_ANCHORS:
@@ -211,7 +211,7 @@ PASCAL_CASE = r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"
 def component_candidates(query: Column, type_words: list[str]) -> Column:
     """(name, type word or null) of components: type then name, name then type, then mixed-case names; first of each name."""
     kinds = "|".join(sorted(map(_escaped, type_words), key=len, reverse=True))
-    barred = F.array(*map(F.lit, MODULE_STOP_WORDS.split()))
+    barred = F.array(*map(F.lit, MODULE_STOP_WORDS))
     pair = lambda name, kind: F.struct(name.alias("name"), kind.alias("kind"))
     after, before = rf"(?i)\b({kinds})\s+([A-Za-z_][A-Za-z0-9_]*)\b", rf"(?i)\b([A-Za-z_][A-Za-z0-9_]*)\s+({kinds})\b"
     both = lambda p, n, k: F.zip_with(F.regexp_extract_all(query, F.lit(p), n), F.regexp_extract_all(query, F.lit(p), k), pair)

@@ -91,7 +91,7 @@ def aliases(token: Column) -> Column:
 def inventory_target(query: Column) -> Column:
     """The canonical term that an inventory question is about, else null."""
     text = F.lower(query)
-    barred = TARGET_STOP_WORDS.split()
+    barred = TARGET_STOP_WORDS
     found = []
     for i, pattern in enumerate(TARGET_PATTERNS):
         name = F.regexp_extract(text, pattern, 1)

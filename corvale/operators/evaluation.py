@@ -14,7 +14,7 @@ AT_MOST = ("fallback_rate",)
 ANSWER_HARD = {"answer_relevancy": 0.55, "answer_correctness": 0.55, "faithfulness": 0.45, "context_entity_recall": 0.70, "scored_rate": 0.80}
 ANSWER_SOFT = {"context_precision": 0.35, "context_recall": 0.45}
 #: Words without meaning for answer scores.
-STOP_WORDS = "a al como con de del donde el en esta la las lo los muestrame para por que se su un una y"
+STOP_WORDS = ("a", "al", "como", "con", "de", "del", "donde", "el", "en", "esta", "la", "las", "lo", "los", "muestrame", "para", "por", "que", "se", "su", "un", "una", "y")
 PREVIEW_LINES = 40
 CONTEXT_LINES = 200
 
@@ -146,7 +146,7 @@ def gate_scope(summary: DataFrame) -> DataFrame:
 def answer_tokens(text: Column) -> Column:
     """Distinct words without stop-words and single characters."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[A-Za-z0-9_./-]+"), 0)
-    return F.array_except(F.filter(words, lambda w: F.length(w) > 1), F.array(*map(F.lit, STOP_WORDS.split())))
+    return F.array_except(F.filter(words, lambda w: F.length(w) > 1), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def flat(text: Column) -> Column:

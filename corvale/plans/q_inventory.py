@@ -46,7 +46,7 @@ def signal_text(spark, sf_dir):
     return t.questions(spark, sf_dir).select("item_id", intents.signal_text(F.col("question")).alias("signal"))
 
 
-_STOP = f"[{q.quoted(intents.IMPORT_STOP_WORDS.split())}]"
+_STOP = f"[{q.quoted(intents.IMPORT_STOP_WORDS)}]"
 _NAMES = f"list_filter(list_transform(regexp_extract_all(question, '[A-Za-z_][A-Za-z0-9_.-]+'), lambda w: regexp_replace(lower(w), '^[._-]+|[._-]+$', '', 'g')), lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w))"
 _HEADED = f"flatten(list_transform({_NAMES}, lambda w: CASE WHEN contains(w, '.') AND length(string_split(w, '.')[1]) >= 3 AND NOT list_contains({_STOP}, string_split(w, '.')[1]) THEN [w, string_split(w, '.')[1]] ELSE [w] END))"
 
@@ -60,7 +60,7 @@ _TRIM = "regexp_replace({x}, '^[.,;:!?()\\[\\]{{}}]+|[.,;:!?()\\[\\]{{}}]+$', ''
 
 
 def _module_sql() -> str:
-    low, stop = "lower(question)", f"[{q.quoted(intents.MODULE_STOP_WORDS.split())}]"
+    low, stop = "lower(question)", f"[{q.quoted(intents.MODULE_STOP_WORDS)}]"
     trimmed = "regexp_replace(m, '^[.,;:!?()\\[\\]{}]+|[.,;:!?()\\[\\]{}]+$', '', 'g')"
     parts = [f"nullif(regexp_extract({low}, '[''\"]([a-z0-9_./-]+)[''\"]', 1), '')"]
     parts += [f"list_filter(list_transform(regexp_extract_all({low}, '{p}', 1), lambda m: {trimmed}), lambda m: m <> '' AND NOT list_contains({stop}, m))[1]" for p in intents.MODULE_ANCHORS]

@@ -41,7 +41,7 @@ def quoted(words) -> str:
 
 
 def has_word(x: str, kind: str) -> str:
-    return f"list_has_any({x}, [{quoted(intents.WORDS[kind].split())}])"
+    return f"list_has_any({x}, [{quoted(intents.WORDS[kind])}])"
 
 
 def low(path: str) -> str:
