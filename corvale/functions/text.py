@@ -48,9 +48,16 @@ def fold_accents(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def fold_unicode(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks, for any script (Arrow batches)."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def _fold_any(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if not isinstance(t, str) else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def fold_unicode(text: Column | str) -> Column:
+    """Compatibility decomposition without combining marks, for any script: in Arrow batches, and only for rows that are not
+    ASCII, as the others stay as they are (they reach Python as nulls)."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.coalesce(_fold_any(F.when(~plain, text)), text)
 
 
 def normalize_text(text: Column) -> Column:

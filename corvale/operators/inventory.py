@@ -13,6 +13,8 @@ from corvale.operators.hybrid import driver_value
 
 ALIAS_LIMIT = 8
 ENTITY_LIMIT = 500
+#: Terms that are broadcast at a time.
+TERM_BLOCK = 10_000
 #: Folders that are no modules, and marks of test paths.
 EXCLUDED_MODULES = (".git", ".github", ".vscode", "docs", "doc", "test", "tests", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", "target", "scripts")
 TEST_MARKS = ("/test/", "/tests/", "test_", "_test.", ".spec.", "/spec/")
@@ -46,12 +48,20 @@ def entities(files: DataFrame, symbols: DataFrame, edges: DataFrame, external: D
     return first.select("label", "path", "kind", "line")
 
 
-def entity_counts(files: DataFrame, symbols: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, files) for a table of terms (term, alias): one join over the symbols, no loop over terms."""
+def entity_counts(files: DataFrame, symbols: DataFrame, terms: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
+    """(term, files) for a table of terms (term, alias): files and symbols meet the terms in blocks of about block rows,
+    each small enough to be broadcast; a term's count comes from all blocks."""
+    blocks = max(1, -(-terms.count() // block))
     t = F.lower("alias")
-    by_path = files.select("path").distinct().join(F.broadcast(terms), F.contains(F.lower("path"), t))
-    by_name = symbols.select("path", "symbol_name", "symbol_type").join(F.broadcast(terms), (F.lower("symbol_type").isin(*graph.TYPE_KINDS) & F.contains(F.lower("symbol_name"), t)) | (F.lower("symbol_type") == t))
-    return by_path.select("term", "path").union(by_name.select("term", "path")).groupBy("term").agg(F.count_distinct("path").alias("files"))
+    paths, named = files.select("path").distinct(), symbols.select("path", "symbol_name", "symbol_type")
+    found = None
+    for n in range(blocks):
+        some = F.broadcast(terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("term", "alias"), F.lit(blocks)) == n))
+        by_path = paths.join(some, F.contains(F.lower("path"), t))
+        by_name = named.join(some, (F.lower("symbol_type").isin(*graph.TYPE_KINDS) & F.contains(F.lower("symbol_name"), t)) | (F.lower("symbol_type") == t))
+        rows = by_path.select("term", "path").union(by_name.select("term", "path"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("term").agg(F.count_distinct("path").alias("files"))
 
 
 def resolve_module(modules: DataFrame, name: str) -> DataFrame:
@@ -128,7 +138,8 @@ def inventory_response(files: DataFrame, symbols: DataFrame, edges: DataFrame, e
     scope = resolve_module(graph.modules(files), module).first()["module"] if module else None
     p, size = pagination(page, page_size)
     rows = entities(files, symbols, edges, external, term, scope)
-    paged = rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).orderBy("path", "label", "kind").offset((p - 1) * size).limit(size)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    paged = rows.orderBy("path", "label", "kind").offset((p - 1) * size).limit(size).join(F.broadcast(total), how="inner", on=F.lit(True))
     if explain and purposes is not None:
         paged = paged.join(purposes.select("path", "purpose_summary"), "path", "left")
     return paged

@@ -148,15 +148,22 @@ def diversify(rows: DataFrame, top_k: int = 10, by: tuple[str, ...] = ()) -> Dat
 
     rows: path, prelim, input_pos, preferred. Within a path the choice follows prelim and the penalty
     never falls, so each path is a sorted list and the greedy choice is their merge. The first preferred
-    row goes first among rows of equal, largest prelim. by: columns that part the rows into queries."""
-    whole = Window.partitionBy(*(by or (F.lit(0),)))
-    best = F.max("prelim").over(whole)
-    first = F.row_number().over(whole.orderBy(F.desc(F.col("preferred").cast("int")), F.desc("prelim"), "input_pos"))
-    rows = rows.withColumn("promo", F.when(F.col("preferred") & (first == 1) & (F.col("prelim") == best), 0).otherwise(1))
-    rows = rows.withColumn("pos", F.row_number().over(whole.orderBy(F.desc("prelim"), "promo", "input_pos")))
-    nth = F.row_number().over(Window.partitionBy(*by, "path").orderBy("pos"))
-    rows = rows.withColumn("final", F.col("prelim") - F.when(nth == 1, 0.0).when(nth == 2, 0.5).otherwise(0.8))
-    return rows.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("final"), "pos"))).where(F.col("rank") <= top_k).drop("promo", "pos")
+    row goes first among rows of equal, largest prelim. by: columns that part the rows into queries.
+    No more than top_k rows of a path can be chosen, so each path keeps that many before the merge, and
+    without queries the merge is a top-k; the best rows are found by partial aggregation."""
+    best = rows.groupBy(*by).agg(F.max("prelim").alias("best"), F.min(F.when(F.col("preferred"), F.struct((-F.col("prelim")).alias("low"), "input_pos"))).alias("pref"))
+    rows = rows.join(F.broadcast(best), how="inner", on=F.lit(True)) if not by else rows.join(best, [rows[c].eqNullSafe(best[c]) for c in by]).drop(*[best[c] for c in by])
+    promoted = F.col("preferred") & (F.col("prelim") == F.col("best")) & (F.col("pref.input_pos") == F.col("input_pos")) & (F.col("pref.low") == -F.col("best"))
+    rows = rows.withColumn("promo", F.when(promoted, 0).otherwise(1)).drop("best", "pref")
+    order = [F.desc("prelim"), F.col("promo"), F.col("input_pos")]
+    nth = F.row_number().over(Window.partitionBy(*by, "path").orderBy(*order))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= top_k)
+    rows = rows.withColumn("final", F.col("prelim") - F.when(F.col("nth") == 1, 0.0).when(F.col("nth") == 2, 0.5).otherwise(0.8)).drop("nth")
+    last = [F.desc("final"), *order]
+    if not by:
+        rows = rows.orderBy(*last).limit(top_k)
+    whole = Window.partitionBy(*(by or (F.lit(0),))).orderBy(*last)
+    return rows.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= top_k).drop("promo")
 
 
 def rerank(chunks: DataFrame, query: Column | str, top_k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:

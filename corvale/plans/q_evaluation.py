@@ -118,7 +118,7 @@ def _answers(spark, sf_dir):
     )
 
 
-_STOPS = f"[{q.quoted(evaluation.STOP_WORDS.split())}]"
+_STOPS = f"[{q.quoted(evaluation.STOP_WORDS)}]"
 
 
 def _tok(x: str) -> str:
@@ -174,19 +174,8 @@ def quality_summary(spark, sf_dir):
     return rows.select("queries_count", F.round("scored_rate", 6).alias("scored_rate"), F.round("answer_relevancy", 5).alias("answer_relevancy"), "fallback_rate")
 
 
-@query("fact_coverage", f"WITH f AS (SELECT item_id AS query, unnest(string_split(text, '. ')) AS fact FROM benchmark), c AS (SELECT string_agg({_FLAT.format('text')}, ' ' ORDER BY doc_id) AS corpus FROM documents WHERE source = 'src1') SELECT query, count(*) FILTER (contains(c.corpus, {_FLAT.format('fact')})) AS matched, count(*) AS total, round(count(*) FILTER (contains(c.corpus, {_FLAT.format('fact')})) / count(*), 4) AS coverage FROM f, c GROUP BY query")
+@query("fact_coverage", f"WITH f AS (SELECT item_id AS query, {_FLAT.format('unnest')} AS fact FROM (SELECT item_id, unnest(string_split(text, '. ')) FROM benchmark) x(item_id, unnest)), d AS (SELECT {_FLAT.format("coalesce(text, '')")} AS held FROM documents), h AS (SELECT w.fact FROM (SELECT DISTINCT fact FROM f) w WHERE EXISTS (SELECT 1 FROM d WHERE contains(d.held, w.fact))) SELECT query, count(h.fact) AS matched, count(*) AS total, round(count(h.fact) / count(*), 4) AS coverage FROM f LEFT JOIN h USING (fact) GROUP BY query")
 def fact_coverage(spark, sf_dir):
-    """Sentences of benchmark passages as facts, one source's texts as the answer to each."""
-    marks = t.read(spark, sf_dir, "benchmark")
-    facts = marks.select(F.col("item_id").alias("query"), F.explode(F.split("text", r"\. ")).alias("fact"))
-    texts = t.read(spark, sf_dir, "documents").where("source = 'src1'")
-    flat = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: evaluation.flat(x["text"])), " ").alias("corpus"))
-    answers = marks.select(F.col("item_id").alias("query")).join(F.broadcast(flat), how="inner", on=F.lit(True))
-    return evaluation.fact_coverage(facts, answers)
-
-
-@query("fact_coverage_all", f"WITH f AS (SELECT item_id AS query, {_FLAT.format('unnest')} AS fact FROM (SELECT item_id, unnest(string_split(text, '. ')) FROM benchmark) x(item_id, unnest)), d AS (SELECT {_FLAT.format("coalesce(text, '')")} AS held FROM documents), h AS (SELECT w.fact FROM (SELECT DISTINCT fact FROM f) w WHERE EXISTS (SELECT 1 FROM d WHERE contains(d.held, w.fact))) SELECT query, count(h.fact) AS matched, count(*) AS total, round(count(h.fact) / count(*), 4) AS coverage FROM f LEFT JOIN h USING (fact) GROUP BY query")
-def fact_coverage_all(spark, sf_dir):
     """Sentences of benchmark passages as facts, each text of all documents as a possible answer."""
     facts = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.split("text", r"\. ")).alias("fact"))
     return evaluation.fact_coverage_any(facts, spread(t.read(spark, sf_dir, "documents")).select("text"))

@@ -8,6 +8,7 @@ from corvale.operators import graph
 from corvale.plans import sqltext as q
 from corvale.plans import tables as t
 from corvale.plans.registry import query
+from corvale.session import cut
 
 #: The targets of impact questions: the files that most files import (five of them).
 _TARGETS = "targets AS (SELECT target_path AS path FROM edges GROUP BY target_path ORDER BY count(*) DESC, target_path LIMIT 5)"
@@ -134,24 +135,18 @@ def has_graph_data(spark, sf_dir):
 
 _WALK = f"""{t.RELATIONS}, e AS (SELECT {_ID} AS i, any_value(source_symbol_id) AS a, any_value(target_symbol_id) AS b, any_value(relation_type) AS k, max(confidence) AS c FROM relations WHERE target_symbol_id IS NOT NULL AND relation_type IN ('CALLS', 'EXTENDS') GROUP BY 1),
 u AS (SELECT i, a, b, k, c FROM e UNION ALL SELECT i, b, a, k, c FROM e WHERE a <> b)"""
-#: Seeds of the expansion: the symbols of the parts with the smallest degree of fan-out, by key.
-_SEEDS = "seeds AS (SELECT a AS s FROM u GROUP BY a ORDER BY count(*), a LIMIT 10)"
 
 
 def _edges(spark, sf_dir):
-    return graph.semantic_edges(t.relations(spark, sf_dir))[0].where("relation_type IN ('CALLS', 'EXTENDS')")
+    """Written once: an expansion reads its edges many times."""
+    return cut(graph.semantic_edges(t.relations(spark, sf_dir))[0].where("relation_type IN ('CALLS', 'EXTENDS')"))
 
 
-def _seeds(edges):
-    both = edges.select(F.col("source_id").alias("id")).union(edges.where("source_id <> target_id").select("target_id"))
-    return both.groupBy("id").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "id").limit(10).select("id")
-
-
-#: Seeds of the whole expansion: each symbol whose number is divisible by 50, hubs included.
-_SEEDS_ALL = "seeds AS (SELECT DISTINCT a AS s FROM u WHERE CAST(substr(a, 2) AS BIGINT) % 50 = 0)"
+#: Seeds of the expansion: each symbol whose number is divisible by 50, hubs included.
+_SEEDS = "seeds AS (SELECT DISTINCT a AS s FROM u WHERE CAST(substr(a, 2) AS BIGINT) % 50 = 0)"
 
 
-def _seeds_all(edges):
+def _seeds(edges):
     both = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id"))
     return both.where(F.substring("id", 2, 20).cast("long") % 50 == 0).distinct()
 
@@ -168,18 +163,6 @@ def graph_expand_2hop(spark, sf_dir):
     return rows.select("seed", "node", "edge_count", F.array_join("relation_types", ",").alias("relation_types"), F.round("relation_confidence_avg", 6).alias("confidence")).distinct()
 
 
-@query(
-    "graph_expand_2hop_all",
-    f"""WITH {_WALK}, {_SEEDS_ALL}, h1 AS (SELECT s, b AS n, i, k, c FROM seeds JOIN u ON u.a = s), h2 AS (SELECT h.s, u.b AS n, h.k AS k1, u.k AS k2, (h.c + u.c) / 2 AS c FROM h1 h JOIN u ON u.a = h.n AND u.i <> h.i),
-r AS (SELECT DISTINCT s AS seed, n AS node, 1 AS edge_count, k AS relation_types, round(c, 6) AS confidence FROM h1 UNION SELECT DISTINCT s, n, 2, k1 || ',' || k2, round(c, 6) FROM h2)
-SELECT seed, node, CAST(edge_count AS INTEGER) AS edge_count, relation_types, confidence FROM r""",
-)
-def graph_expand_2hop_all(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    rows = graph.expand(edges, _seeds_all(edges), 2, ["CALLS", "EXTENDS"], limit=None)
-    return rows.select("seed", "node", "edge_count", F.array_join("relation_types", ",").alias("relation_types"), F.round("relation_confidence_avg", 6).alias("confidence")).distinct()
-
-
 @query(
     "symbol_file_context",
     f"""WITH {t.EXTERNAL}, src AS (SELECT id AS seed, path FROM gsymbols WHERE symbol_name = 'Brand_3')
@@ -226,7 +209,7 @@ def file_context_scores(spark, sf_dir):
 o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, e, k) AS n FROM rec),
 f AS (SELECT s, 0 AS n, 0 AS nodes, 0 AS used, 0 AS pruned FROM (SELECT DISTINCT s FROM o) UNION ALL
  SELECT f.s, o.n, f.nodes + CASE WHEN f.nodes >= 8 OR f.used + o.e > 100 THEN 0 ELSE 1 END, f.used + CASE WHEN f.nodes >= 8 OR f.used + o.e > 100 THEN 0 ELSE o.e END, f.pruned + CASE WHEN f.nodes >= 8 OR f.used + o.e > 100 THEN o.e ELSE 0 END FROM f JOIN o ON o.s = f.s AND o.n = f.n + 1)
-SELECT s AS seed, CAST(arg_max(nodes, n) AS BIGINT) AS nodes, CAST(arg_max(used, n) AS BIGINT) AS edges_used, CAST(arg_max(pruned, n) AS BIGINT) AS pruned_edges, round(arg_max(pruned, n) / (arg_max(used, n) + arg_max(pruned, n)), 4) AS noise_ratio FROM f GROUP BY s""",
+SELECT s AS seed, CAST(arg_max(nodes, n) AS BIGINT) AS nodes, CAST(arg_max(used, n) AS BIGINT) AS edges_used, CAST(arg_max(pruned, n) AS BIGINT) AS pruned_edges, round_even(arg_max(pruned, n) / (arg_max(used, n) + arg_max(pruned, n)), 4) AS noise_ratio FROM f GROUP BY s""",
 )
 def budget_expand(spark, sf_dir):
     edges = _edges(spark, sf_dir)
@@ -236,22 +219,6 @@ def budget_expand(spark, sf_dir):
     return rows.select("seed", F.size("picked").cast("long").alias("nodes"), "edges_used", "pruned_edges", "noise_ratio")
 
 
-@query(
-    "budget_expand_all",
-    f"""WITH RECURSIVE {_WALK}, {_SEEDS_ALL}, rec AS (SELECT s, b AS k, max(round(c, 4)) AS score, CAST(min(ceil(c * 20)) AS INTEGER) AS e FROM seeds JOIN u ON u.a = s GROUP BY s, b),
-o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, e, k) AS n FROM rec),
-f AS (SELECT s, 0 AS n, 0 AS nodes, 0 AS used, 0 AS pruned FROM (SELECT DISTINCT s FROM o) UNION ALL
- SELECT f.s, o.n, f.nodes + CASE WHEN f.nodes >= 8 OR f.used + o.e > 100 THEN 0 ELSE 1 END, f.used + CASE WHEN f.nodes >= 8 OR f.used + o.e > 100 THEN 0 ELSE o.e END, f.pruned + CASE WHEN f.nodes >= 8 OR f.used + o.e > 100 THEN o.e ELSE 0 END FROM f JOIN o ON o.s = f.s AND o.n = f.n + 1)
-SELECT s AS seed, CAST(arg_max(nodes, n) AS BIGINT) AS nodes, CAST(arg_max(used, n) AS BIGINT) AS edges_used, CAST(arg_max(pruned, n) AS BIGINT) AS pruned_edges, round(arg_max(pruned, n) / (arg_max(used, n) + arg_max(pruned, n)), 4) AS noise_ratio FROM f GROUP BY s""",
-)
-def budget_expand_all(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    hop = graph.expand(edges, _seeds_all(edges), 1, None, limit=None)
-    records = hop.groupBy("seed", F.col("node").alias("key")).agg(F.max(F.round("relation_confidence_avg", 4)).alias("semantic_score"), F.min(F.ceil(F.col("relation_confidence_avg") * 20)).cast("int").alias("edge_count"))
-    rows = graph.budgeted(records, 8, 100, ("seed",))
-    return rows.select("seed", F.size("picked").cast("long").alias("nodes"), "edges_used", "pruned_edges", "noise_ratio")
-
-
 @query("record_identities", f"WITH {t.GRAPH_SYMBOLS} SELECT symbol_type AS label, count(DISTINCT path) AS records FROM gsymbols GROUP BY 1")
 def record_identities(spark, sf_dir):
     props = F.create_map(F.lit("id"), F.lit(""), F.lit("path"), F.col("path"), F.lit("name"), F.col("symbol_name"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from corvale.operators import metadata, observability
 from corvale.plans import tables as t
 from corvale.plans.registry import query
+from corvale.session import shared_dir
 from corvale.streaming import ingest
 
 
@@ -235,9 +235,9 @@ def daily_stage_metrics_stream(spark, sf_dir):
     schema = t.read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = stream.select(F.col("ts").cast("timestamp").alias("snapshot_at"), F.col("event_type").alias("job_status"), F.col("value").alias("total_ms"))
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvale-stream-")
     import uuid
 
+    place = shared_dir(spark)
     name = f"stage_metrics_{uuid.uuid4().hex}"
     done = ingest.stage_metrics(rows, "3650 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start()
     done.awaitTermination()

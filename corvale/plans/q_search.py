@@ -32,6 +32,18 @@ def vector_topk_per_collection(spark, sf_dir):
     return rows.select("collection", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "vector_topk_many",
+    f"""WITH {t.VECTORS}, d AS (SELECT a.id AS query_id, v.id, {q.cosine('v.embedding', 'a.embedding')} AS distance FROM vectors v, vectors a WHERE a.id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS "rank" FROM d) SELECT query_id, id, CAST("rank" AS BIGINT) AS "rank" FROM r WHERE "rank" <= 10""",
+)
+def vector_topk_many(spark, sf_dir):
+    """Each vector whose id is divisible by 50 asks all vectors."""
+    rows = t.vectors(spark, sf_dir)
+    asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.top_k_many(rows, asked, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("vector_page", f"WITH {t.VECTORS} SELECT id, collection FROM vectors WHERE collection = 'code_files' ORDER BY id LIMIT 25 OFFSET 10")
 def vector_page(spark, sf_dir):
     return vectors.admin_read(t.vectors(spark, sf_dir), "get", "code_files", limit=25, offset=10).select("id", "collection")
@@ -101,26 +113,12 @@ def lexical_topk(spark, sf_dir):
 
 @query(
     "lexical_many",
-    f"""WITH {_POST}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({q.terms("array_to_string(string_split(text, ' ')[1:2], ' ')")}) AS term FROM benchmark), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
-hits AS (SELECT a.query_id, p.id, count(DISTINCT a.term) AS found, sum(CASE field WHEN 'symbol_name' THEN 1.0 WHEN 'path' THEN 0.4 ELSE 0.2 END * log2(1 + occurrences)) AS score FROM asked a JOIN postings p USING (term) GROUP BY ALL),
-ranked AS (SELECT h.query_id, h.id, h.score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(h.score, 9) DESC, h.id) AS r FROM hits h JOIN wanted w ON h.query_id = w.query_id AND h.found = w.n)
-SELECT query_id, id, round(score, 6) AS score, CAST(r AS BIGINT) AS "rank" FROM ranked WHERE r <= 10""",
-)
-def lexical_many(spark, sf_dir):
-    """A table of questions, the first two words of each passage, over the postings."""
-    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(t.REPO).alias("repo_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
-    rows = lexical.search_many(lexical.postings(t.corpus(spark, sf_dir)), asked, 10)
-    return rows.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-@query(
-    "lexical_many_whole",
     f"""WITH {_POST}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({q.terms('text')}) AS term FROM benchmark), wanted AS (SELECT query_id, count(*) AS n FROM asked GROUP BY 1),
 hits AS (SELECT a.query_id, p.id, count(DISTINCT a.term) AS found, sum(CASE field WHEN 'symbol_name' THEN 1.0 WHEN 'path' THEN 0.4 ELSE 0.2 END * log2(1 + occurrences)) AS score FROM asked a JOIN postings p USING (term) GROUP BY ALL),
 ranked AS (SELECT h.query_id, h.id, h.score, row_number() OVER (PARTITION BY h.query_id ORDER BY round(h.score, 9) DESC, h.id) AS r FROM hits h JOIN wanted w ON h.query_id = w.query_id AND h.found = w.n)
 SELECT query_id, id, round(score, 6) AS score, CAST(r AS BIGINT) AS "rank" FROM ranked WHERE r <= 10""",
 )
-def lexical_many_whole(spark, sf_dir):
+def lexical_many(spark, sf_dir):
     """A table of questions, each passage with all its words, over the postings."""
     asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(t.REPO).alias("repo_id"), "text")
     rows = lexical.search_many(lexical.postings(t.corpus(spark, sf_dir)), asked, 10)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,23 @@ def local_session(cores: str | int = "*", app: str = "corvale") -> SparkSession:
     return session
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut at files in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir. A local session without that setting has a
+    temporary folder; on a cluster executors could not read one, so that is an error."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvale-checkpoints-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            place = tempfile.mkdtemp(prefix="corvale-checkpoints-")
+        context.setCheckpointDir(place)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut at files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

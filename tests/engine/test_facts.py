@@ -15,4 +15,4 @@ def test_facts_of_any_text(spark):
 def test_facts_are_sought_in_all_sources(spark, tmp_path):
     spark.createDataFrame([(1, "one fact. other fact")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, "one fact", "src7"), (2, "x other fact x", "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert q_evaluation.fact_coverage_all(spark, str(tmp_path)).first()["matched"] == 2
+    assert q_evaluation.fact_coverage(spark, str(tmp_path)).first()["matched"] == 2
