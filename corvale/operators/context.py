@@ -239,6 +239,38 @@ def diagnostics(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What a retrieval says about itself besides its counts.
+RETRIEVAL_COUNTS = ("retrieved", "reranked", "graph_nodes", "context_chars", "raw_citations", "filtered_citations", "returned_citations")
+
+
+def retrieval_diagnostics(rows: DataFrame) -> DataFrame:
+    """The diagnostics of retrievals without a model: the counts, budget and fallback_reason of rows, and what follows from them."""
+    kept = [c for c in (*RETRIEVAL_COUNTS, "query_budget_seconds", "budget_exhausted", "fallback_reason") if c in rows.columns]
+    return rows.select("query_id", *kept, (F.col("retrieved") < 3).alias("low_signal_retrieval"), F.col("fallback_reason").isNotNull().alias("fallback_used"), F.lit("retrieval_only").alias("mode"))
+
+
+def graph_first_diagnostics(rows: DataFrame, default_route: str = "graph_first", mode: str | None = None) -> DataFrame:
+    """The diagnostics of answers that come from the graph alone: route, page, total and whether a fallback was used.
+
+    rows: query_id, inventory_route, page, page_size, total, fallback_reason, and impact_route if there is one. A blank
+    route counts as none, a blank reason as no fallback; mode replaces the rows' own where given."""
+    route = F.coalesce(F.nullif("inventory_route", F.lit("")), F.lit(default_route))
+    more = [F.col("impact_route").alias("impact_route_used")] if "impact_route" in rows.columns else []
+    own = F.lit(mode) if mode is not None else F.col("mode") if "mode" in rows.columns else F.lit(None).cast("string")
+    return rows.select(
+        "query_id",
+        route.alias("inventory_route"),
+        route.alias("graph_first_route"),
+        F.lit(True).alias("graph_first_response"),
+        F.col("page").alias("inventory_page"),
+        F.col("page_size").alias("inventory_page_size"),
+        F.col("total").alias("inventory_total"),
+        (F.coalesce("fallback_reason", F.lit("")) != "").alias("fallback_used"),
+        own.alias("mode"),
+        *more,
+    )
+
+
 def retrieval_answer(chunks: DataFrame, query: str) -> DataFrame:
     """(answer) of a retrieval without a model: the count and the first five chunks."""
     total = chunks.agg(F.count(F.lit(1)).alias("total"))

@@ -211,36 +211,56 @@ def frontend_purpose(path: Column) -> Column:
     return F.struct(text.alias("purpose"), source.alias("source"))
 
 
+#: What a definition's name says, by kind of language: (part of the name, what follows), the first that fits.
+JAVA_ROLES = (
+    ("controller", "para gestionar entradas y coordinación del componente."),
+    ("service", "para implementar lógica de negocio del componente."),
+    ("repository", "para encapsular acceso a datos del componente."),
+    ("", "y concentra lógica principal del componente."),
+)
+PYTHON_CLASS_ROLES = (
+    ("settings", "para centralizar configuración del componente."),
+    ("config", "para centralizar configuración del componente."),
+    ("service", "para implementar lógica de servicio del componente."),
+    ("", "y centraliza responsabilidades del componente."),
+)
+SCRIPT_CLASS_ROLES = (
+    ("controller", "para gestionar entradas y coordinación del componente."),
+    ("service", "para implementar lógica de servicio del componente."),
+    ("repository", "para encapsular acceso a datos del componente."),
+    ("", "y centraliza responsabilidades del componente."),
+)
+ROUTE_HANDLERS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+ROUTE_TEXT = "Define el handler HTTP `{name}` para procesar requests del endpoint de la ruta."
+HOOK_TEXT = "Define el hook `{name}` para encapsular estado, efectos o acceso a datos reutilizable."
+PROVIDER_TEXT = "Define `{name}` para proveer contexto compartido a componentes descendientes."
+LOGGING_TEXT = "Define `{name}` para configurar el logging del componente."
+FUNCTION_TEXT = "Define la función `{name}` y encapsula comportamiento reutilizable."
+CLASS_TEXT = "Declara la clase `{name}` {role}"
+TYPE_TEXT = "Declara el {kind} `{name}` {role}"
+
+
+def _role(name: str, roles: tuple[tuple[str, str], ...]) -> str:
+    return next(text for part, text in roles if part in name.lower())
+
+
 def _definition_purpose(kind: str, name: str, language: str) -> tuple[str, str]:
     """What the first definition of a file says about it, and where that comes from."""
     low = name.lower()
     python = language == "python"
     if language == "java":
-        what = (
-            "para gestionar entradas y coordinación del componente."
-            if "controller" in low
-            else "para implementar lógica de negocio del componente."
-            if "service" in low
-            else "para encapsular acceso a datos del componente."
-            if "repository" in low
-            else "y concentra lógica principal del componente."
-        )
-        return f"Declara el {kind} `{name}` {what}", "java_type_name"
-    if not python:
-        if name in ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"):
-            return f"Define el handler HTTP `{name}` para procesar requests del endpoint de la ruta.", "route_handler_name"
-        if low.startswith("use") and len(name) > 3:
-            return f"Define el hook `{name}` para encapsular estado, efectos o acceso a datos reutilizable.", "frontend_symbol_name"
-        if low.endswith("provider"):
-            return f"Define `{name}` para proveer contexto compartido a componentes descendientes.", "frontend_symbol_name"
+        return TYPE_TEXT.format(kind=kind, name=name, role=_role(name, JAVA_ROLES)), "java_type_name"
+    if not python and name in ROUTE_HANDLERS:
+        return ROUTE_TEXT.format(name=name), "route_handler_name"
+    if not python and low.startswith("use") and len(name) > 3:
+        return HOOK_TEXT.format(name=name), "frontend_symbol_name"
+    if not python and low.endswith("provider"):
+        return PROVIDER_TEXT.format(name=name), "frontend_symbol_name"
     if kind == "class":
-        rules = [("settings", "para centralizar configuración del componente."), ("config", "para centralizar configuración del componente.")] if python else [("controller", "para gestionar entradas y coordinación del componente.")]
-        rules += [("service", "para implementar lógica de servicio del componente.")] + ([] if python else [("repository", "para encapsular acceso a datos del componente.")])
-        what = next((text for part, text in rules if part in low), "y centraliza responsabilidades del componente.")
-        return f"Declara la clase `{name}` {what}", "python_class_name" if python else "class_name"
+        return CLASS_TEXT.format(name=name, role=_role(name, PYTHON_CLASS_ROLES if python else SCRIPT_CLASS_ROLES)), "python_class_name" if python else "class_name"
     if python and any(p in low for p in ("configure", "setup", "init")) and "log" in low:
-        return f"Define `{name}` para configurar el logging del componente.", "python_function_name"
-    return f"Define la función `{name}` y encapsula comportamiento reutilizable.", "python_function_name" if python else "function_name"
+        return LOGGING_TEXT.format(name=name), "python_function_name"
+    return FUNCTION_TEXT.format(name=name), "python_function_name" if python else "function_name"
 
 
 def first_sentence(text: str) -> str:
@@ -285,3 +305,15 @@ def purposes(files: DataFrame) -> DataFrame:
 def unique_names(symbol_rows: DataFrame) -> DataFrame:
     """Symbols whose name occurs once."""
     return symbol_rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol_name"))).where("n = 1").drop("n")
+
+
+def named_spans(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, name, start_line, end_line): where each wanted (path, name) is defined in its file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r.path, r.name, *span) for r in batch.itertuples(index=False) for span in parsers.named_spans(r.content or "", r.name, r.path)]
+            yield pd.DataFrame(rows, columns=["path", "name", "start_line", "end_line"])
+
+    asked = wanted.select("path", "name").distinct().join(files.select("path", "content"), "path")
+    return asked.select("path", "name", "content").mapInPandas(run, "path string, name string, start_line int, end_line int")

@@ -36,7 +36,7 @@ DECLARATIONS = {
     "fallback": (("", rf"^\s*(?P<kind>def|class)\s+(?P<name>{IDENT})"), ("function", rf"^\s*function\s+(?P<name>{IDENT})")),
 }
 #: Words that look like calls or declarations but are control flow.
-CONTROL_WORDS = {"java": "if for while switch catch return new throw synchronized", "javascript": "if for while switch catch function"}
+CONTROL_WORDS = {"java": ("if", "for", "while", "switch", "catch", "return", "new", "throw", "synchronized"), "javascript": ("if", "for", "while", "switch", "catch", "function")}
 FALLBACK_WINDOW = 30
 BRACE_WINDOW = 12
 UNBALANCED_LINES = 100
@@ -77,6 +77,18 @@ class Braces:
         return min(self.lines, opened + UNBALANCED_LINES)
 
 
+    def depths(self) -> list[int]:
+        """How many braces are open where each line begins; the first entry stands for no line."""
+        change = [0] * (self.lines + 3)
+        for line, b in self.events:
+            change[min(line + 1, self.lines + 2)] += 1 if b == "{" else -1
+        out, depth = [], 0
+        for c in change:
+            depth += c
+            out.append(max(0, depth))
+        return out
+
+
 def python_symbols(content: str, path: str = "") -> list[Symbol]:
     """Classes and functions by syntax tree; a function anywhere inside a class is a method. None if the source does not parse."""
     try:
@@ -108,7 +120,7 @@ def _default_name(path: str) -> str:
 
 def _by_patterns(language: str) -> Callable[[str, str], list[Symbol]]:
     patterns = [(kind, re.compile(p)) for kind, p in DECLARATIONS[language]]
-    barred = set(CONTROL_WORDS[language].split())
+    barred = set(CONTROL_WORDS[language])
 
     def parse(content: str, path: str = "") -> list[Symbol]:
         braces, out = Braces(content), []
@@ -139,29 +151,41 @@ def fallback_symbols(content: str, path: str = "") -> list[Symbol]:
     return out
 
 
-KOTLIN_TYPE = re.compile(rf"^\s*(?:(?:public|private|internal|protected|abstract|open|sealed|data|inner|annotation|value|enum)\s+)*(class|interface|object)\s+({IDENT})")
-KOTLIN_FUN = re.compile(rf"^\s*(?:(?:public|private|internal|protected|abstract|open|override|suspend|inline|operator|infix|tailrec)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_][A-Za-z0-9_<>?.]*\.)?({IDENT})\s*\(")
-SWIFT_TYPE = re.compile(rf"^\s*(?:(?:public|private|internal|fileprivate|open|final|indirect)\s+)*(class|struct|enum|protocol|actor|extension)\s+({IDENT})")
-SWIFT_FUN = re.compile(rf"^\s*(?:(?:public|private|internal|fileprivate|open|final|static|class|override|mutating|@\w+)\s+)*func\s+({IDENT})")
+#: Attributes and annotations that may stand before a declaration on its line.
+_MARKS = r"(?:@[A-Za-z_][A-Za-z0-9_.]*(?:\([^)]*\))?\s+)*"
+KOTLIN_TYPE = re.compile(rf"^\s*{_MARKS}(?:(?:public|private|internal|protected|abstract|open|sealed|data|inner|annotation|value|enum)\s+)*(class|interface|object)\s+({IDENT})")
+KOTLIN_FUN = re.compile(rf"^\s*{_MARKS}(?:(?:public|private|internal|protected|abstract|open|override|suspend|inline|operator|infix|tailrec)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[A-Za-z_][A-Za-z0-9_<>?.]*\.)?({IDENT})\s*\(")
+SWIFT_TYPE = re.compile(rf"^\s*{_MARKS}(?:(?:public|private|internal|fileprivate|open|final|indirect)\s+)*(class|struct|enum|protocol|actor|extension)\s+(?!func\b|var\b|let\b)({IDENT})")
+SWIFT_FUN = re.compile(rf"^\s*{_MARKS}(?:(?:public|private|internal|fileprivate|open|final|static|class|override|mutating)\s+)*func\s+({IDENT})")
 
 
 def _nested(content: str, type_pattern: re.Pattern, fun_pattern: re.Pattern, maker: str) -> list[Symbol]:
-    """Types, functions and methods of a language with braces; maker: the pattern of constructors inside types."""
+    """Types and functions at the top of a file, and the methods and constructors right inside such types, as a syntax
+    tree's first two levels give them; maker: the pattern of constructors inside types."""
     braces, out, types = Braces(content), [], []
-    for n, line in enumerate(lines_of(content), 1):
+    depth, lines = braces.depths(), lines_of(content)
+
+    def end(n: int) -> int:
+        """Where a function ends: on its own line if the next block belongs to another declaration, or one closes first."""
+        line, b = next(((x, b) for x, b in braces.events if x >= n), (n, "}"))
+        other = b == "}" or any(type_pattern.match(x) or fun_pattern.match(x) for x in lines[n:line])
+        return n if other else braces.end(n)
+
+    for n, line in enumerate(lines, 1):
         types = [t for t in types if t[1] >= n]
-        found = type_pattern.match(line)
-        if found:
+        level = depth[n]
+        if level == 0 and (found := type_pattern.match(line)) is not None:
             kind = {"object": "class", "actor": "class", "extension": "class"}.get(found[1], found[1])
             if re.search(r"\benum\s+class\b", line):
                 kind = "enum"
-            end = braces.end(n)
-            out.append((found[2], kind, n, end))
-            types.append((found[2], end))
-        elif (found := fun_pattern.match(line)) is not None:
-            out.append((found[1], "method" if types else "function", n, braces.end(n)))
-        elif types and re.match(maker, line):
-            out.append((types[-1][0], "constructor", n, braces.end(n)))
+            last = braces.end(n)
+            out.append((found[2], kind, n, last))
+            types.append((found[2], last))
+        elif level == 0 or (level == 1 and types):
+            if (found := fun_pattern.match(line)) is not None:
+                out.append((found[1], "method" if level else "function", n, end(n)))
+            elif level and re.match(maker, line):
+                out.append((types[-1][0], "constructor", n, braces.end(n)))
     return sorted(out, key=lambda s: (s[2], s[0]))
 
 

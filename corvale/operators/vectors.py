@@ -47,6 +47,22 @@ def top_k_per_collection(vectors: DataFrame, query: list[float], k: int, space:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("collection").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
+def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, space: str = "cosine", block: int = 2_000) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows for each query (query_id, query), exactly.
+
+    Queries meet all rows in blocks of about block, each small enough to be broadcast; each partition keeps its own k best of a
+    query before the shuffle."""
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for n in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        pairs = vectors.select("id", "embedding").join(F.broadcast(some.select("query_id", "query")), how="inner", on=F.lit(True))
+        near = pairs.select("query_id", "id", distance(F.col("embedding"), F.col("query"), space).alias("distance")).where("distance IS NOT NULL")
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
+
+
 def page(rows: DataFrame, limit: int, offset: int = 0, where: Column | None = None) -> DataFrame:
     """Rows by id, from offset on."""
     if not (1 <= limit <= 1000 and 0 <= offset <= 100_000):
@@ -60,6 +76,13 @@ def collection_counts(vectors: DataFrame, repo: str | None = None) -> DataFrame:
     return vectors.groupBy("collection").agg(F.count(F.lit(1)).alias("total"), of_repo.alias("of_repo"))
 
 
+def collection_diagnostics(vectors: DataFrame, names: list[str], repo: str | None = None) -> DataFrame:
+    """(collection, total, of_repo, error) of each named collection: one that is not there has an error, the others stand."""
+    asked = vectors.sparkSession.createDataFrame([(n,) for n in names], "collection string")
+    rows = asked.join(collection_counts(vectors, repo), "collection", "left")
+    return rows.select("collection", "total", "of_repo", F.when(F.col("total").isNull(), F.concat(F.lit("collection not found: "), F.col("collection"))).alias("error"))
+
+
 def total_of(vectors: DataFrame, repo: str, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame:
     """One row: the number of a repository's vectors in some collections."""
     return vectors.where((F.col("repo_id") == repo) & F.col("collection").isin(*collections)).agg(F.count(F.lit(1)).alias("total"))

@@ -156,20 +156,19 @@ _S = "SELECT 'org/n' || s_nationkey || '/S' || s_suppkey || '.java' AS path, s_s
 
 @query("java_symbols", f"WITH s AS ({_S}) SELECT path, 'S' || k AS symbol_name, 'class' AS symbol_type, 5 AS start_line, 10 AS end_line FROM s UNION ALL SELECT path, 'run', 'method', 6, 9 FROM s UNION ALL SELECT path, 'S' || k, 'method', 8, 8 FROM s WHERE FALSE UNION ALL SELECT 'org/shared/Tool.java', 'Tool', 'class', 2, 5 UNION ALL SELECT 'org/shared/Tool.java', 'fix', 'method', 3, 4")
 def java_symbols(spark, sf_dir):
-    rows = extraction.code_symbols(_java_files(spark, sf_dir)).select("path", "symbol_name", "symbol_type", "start_line", "end_line")
-    return rows.where("NOT (symbol_type = 'method' AND start_line = 8)")
+    return extraction.code_symbols(_java_files(spark, sf_dir)).select("path", "symbol_name", "symbol_type", "start_line", "end_line")
 
 
 @query(
     "java_relations",
     f"""WITH s AS ({_S}) SELECT path, 'IMPORTS' AS relation_type, 'java.util.*' AS target_ref, 'unresolved' AS resolution_method FROM s UNION ALL SELECT path, 'IMPORTS', 'org.shared.Tool', 'fqcn' FROM s
-UNION ALL SELECT path, 'EXTENDS', 'Base', 'unresolved' FROM s UNION ALL SELECT path, 'IMPLEMENTS', 'Runnable', 'unresolved' FROM s UNION ALL SELECT path, 'CALLS', 'fix', 'unresolved' FROM s""",
+UNION ALL SELECT path, 'EXTENDS', 'Base', 'unresolved' FROM s UNION ALL SELECT path, 'IMPLEMENTS', 'Runnable', 'unresolved' FROM s UNION ALL SELECT path, 'CALLS', 'fix', 'unresolved' FROM s UNION ALL SELECT path, 'CALLS', 'S' || k, 'local' FROM s""",
 )
 def java_relations(spark, sf_dir):
     files = _java_files(spark, sf_dir)
     symbols = _with_ids(files)
     edges, _ = relations.relations(files, symbols)
-    return edges.where("path <> 'org/shared/Tool.java' AND line <> 8").select("path", "relation_type", "target_ref", "resolution_method")
+    return edges.select("path", "relation_type", "target_ref", "resolution_method")
 
 
 def _js_files(spark, sf_dir, ending: str, language: str):
@@ -186,13 +185,12 @@ def _js_sql(ending: str) -> str:
     return f"""WITH n AS (SELECT n_nationkey AS k, 'nations/n' || n_nationkey || '{ending}' AS path, 'regions/r' || n_regionkey || '/index{ending}' AS region FROM nation)
 SELECT path, 'IMPORTS' AS relation_type, region AS target_ref, 'unresolved' AS resolution_method, 2::BIGINT AS n, 0.8::DOUBLE AS confidence FROM n
 UNION ALL SELECT path, 'EXTENDS', 'Root', 'unresolved', 1, 0.95 FROM n UNION ALL SELECT path, 'CALLS', 'aid', 'import_binding', 1, 0.75 FROM n
-UNION ALL SELECT path, 'CALLS', 'all.help', 'namespace_import', 1, 0.75 FROM n UNION ALL SELECT path, 'CALLS', 'solo_' || k, 'local', {2 if ending == '.js' else 1}, 0.75 FROM n UNION ALL SELECT path, 'CALLS', 'go', 'local', 1, 0.75 FROM n"""
+UNION ALL SELECT path, 'CALLS', 'all.help', 'namespace_import', 1, 0.75 FROM n UNION ALL SELECT path, 'CALLS', 'solo_' || k, 'local', {2 if ending == '.js' else 1}, 0.75 FROM n UNION ALL SELECT path, 'CALLS', 'go', 'local', 1, 0.75 FROM n{" UNION ALL SELECT DISTINCT region, 'CALLS', 'helper', 'local', 1, 0.75 FROM n" if ending == '.js' else ''}"""
 
 
 def _js_relations(files):
     edges, _ = relations.relations(files, _with_ids(files))
-    rows = edges.where(F.col("path").startswith("nations/"))
-    return rows.groupBy("path", "relation_type", "target_ref", "resolution_method").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+    return edges.groupBy("path", "relation_type", "target_ref", "resolution_method").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
 
 
 @query("javascript_relations", _js_sql(".js"))

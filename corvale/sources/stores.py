@@ -36,6 +36,15 @@ def delete_repo(rows: DataFrame, repo: str, column: str = "repo_id") -> DataFram
     return rows.where(~F.col(column).eqNullSafe(F.lit(repo)))
 
 
+def delete_subgraph(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without a repository's nodes (label, id, repo_id) and all edges (source_id, target_id) that touch one.
+
+    Nodes that carry no repo_id, as those of repositories themselves do, stay."""
+    gone = nodes.where(F.col("repo_id") == repo).select("id").distinct()
+    left = edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    return delete_repo(nodes, repo), left.select(*edges.columns)
+
+
 def delete_paths(rows: DataFrame, repo: str, paths: DataFrame) -> DataFrame:
     """Rows without those of a repository's paths (column path); no paths, no deletion."""
     gone = paths.select("path").distinct().withColumn("repo_id", F.lit(repo))
