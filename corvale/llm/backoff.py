@@ -50,7 +50,7 @@ from corvale.llm.common import held_out, offsets_of, table, written
 
 FOLDS, OUT_FOLD = 5, 1
 #: Text bytes of a block and of a key range, on average.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
 #: Candidate shares of the shorter history, for each size class of a history.
 GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
