@@ -8,10 +8,13 @@ together with Adam on whole texts; one coordinate of the embeddings starts from
 log-odds of a bucket's documents, the rest near zero. A logistic map fitted on unseen
 rows turns the output into a probability.
 
-Thresholds are calibrated by language on the same unseen rows: a language's threshold is
-the middle of the gap between the scores of its clean and toxic rows, held within
-``THRESHOLDS``; languages with too few rows take the one over all. They come as further
-columns (threshold, flagged); lang is not an input of the score.
+Thresholds are calibrated by language on the scores of every labelled row outside the
+held-out fold that the classifier was not fitted on: a language's threshold is the middle of
+the gap between its clean rows' 0.99 quantile and its toxic rows' 0.02 quantile, both to
+``STEPS`` steps, held within ``THRESHOLDS``; languages with under ``LEAST`` rows of either
+class take the one over all. They come as further columns (threshold, flagged); lang is not
+an input of the score. Languages are told apart by ``LANGUAGES`` hash values, which bounds
+the table of thresholds; two that share one are calibrated together.
 
 Training takes at most ``SAMPLE`` labelled rows, by smallest hash of doc_id, toxic and
 clean ones counted apart, and of either class, in the same order, those that keep the words
@@ -32,8 +35,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corvale.llm.common import binary_column, each_batch, held_out, offsets_of, table, written
 from corvale.llm.quality import labelled, logistic
@@ -45,6 +49,9 @@ WORDS = 700_000
 FOLDS, OUT_FOLD = 4, 2
 CUT = 0.3
 THRESHOLDS = (0.2, 0.5)
+LANGUAGES = 1 << 16
+STEPS = 1_000
+LEAST = 5
 
 BUCKETS = 1 << 18
 SIZE = 8
@@ -86,8 +93,9 @@ class Convolution:
     shift: float = 0.0
     slope: float = 1.0
     offset: float = 0.0
-    thresholds: dict[str | None, float] = field(default_factory=dict)
+    thresholds: dict[int | None, float] = field(default_factory=dict)
     constant: float | None = None
+    fitted: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     def pooled(self, words: np.ndarray, which: np.ndarray, lengths: np.ndarray, want_places: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(texts × filters) largest activations over a text's positions, and their positions (if wanted); -1 where the bias is larger."""
@@ -133,7 +141,8 @@ class Convolution:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw.astype(np.float64) + self.offset, -40, 40)))
 
     def threshold(self, lang: str | None) -> float:
-        return self.thresholds.get(lang, self.thresholds.get(None, CUT))
+        number = None if lang is None else zlib.crc32(lang.encode()) % LANGUAGES
+        return self.thresholds.get(number, self.thresholds.get(None, CUT))
 
 
 def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, rate: float, step: int) -> None:
@@ -143,8 +152,8 @@ def _adam(state: dict, name: str, value: np.ndarray, grad: np.ndarray, rate: flo
     value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 6, rate: float = 0.02, seed: int = 7) -> Convolution:
-    """The classifier of texts given as (words × 3) buckets, with labels y."""
+def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.02, seed: int = 7) -> Convolution:
+    """The classifier of texts given as (words × 3) buckets, with labels y; its fitted are the texts' numbers that it has learned from."""
     rng = np.random.default_rng(seed)
     none = Convolution(np.zeros((BUCKETS, SIZE), dtype=np.float32), [np.zeros((w, SIZE, FILTERS), dtype=np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), dtype=np.float32), np.zeros(FILTERS * len(WIDTHS)))
     if len(y) < 10 or min(y.sum(), len(y) - y.sum()) < 2:
@@ -215,19 +224,18 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs:
 
     outs = np.array([raw(i) for i in fitted])
     model.slope, model.offset = logistic(outs, y[fitted])
-    probability = model.calibrated(outs)
-    by = np.array([langs[i] for i in fitted], dtype=object)
-    for lang in {*by, None}:
-        own = np.full(len(by), True) if lang is None else by == lang
-        toxic, clean = probability[own & (y[fitted] == 1)], probability[own & (y[fitted] == 0)]
-        if len(toxic) >= 5 and len(clean) >= 5:
-            low, high = np.quantile(clean, 0.99), np.quantile(toxic, 0.02)
-            model.thresholds[lang] = float(np.clip((low + high) / 2, *THRESHOLDS))
+    model.fitted = np.flatnonzero(~unseen) if unseen.any() else model.fitted
     return model
 
 
-def _lang(docs: DataFrame) -> Column:
-    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+def _language(docs: DataFrame) -> Column:
+    """The hash value of a row's lang, null without one."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return (F.crc32(lang.cast("binary")) % LANGUAGES).cast("int")
+
+
+def _usable(usable: Column | None) -> Column:
+    return ~held_out(FOLDS, OUT_FOLD) if usable is None else usable
 
 
 def within(sizes: list[tuple[int, int, int]], words: int) -> set[int]:
@@ -241,58 +249,112 @@ def within(sizes: list[tuple[int, int, int]], words: int) -> set[int]:
     return kept
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Column | None = None, most_words: int = WORDS) -> Convolution:
-    """Fits on labelled documents outside the held-out fold."""
-    usable = ~held_out(FOLDS, OUT_FOLD) if usable is None else usable
+def fit_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Column | None = None, most_words: int = WORDS) -> Convolution:
+    """Fits on the sample of labelled documents outside the held-out fold; without thresholds. Its fitted are doc_ids."""
+    usable = _usable(usable)
     some = labelled(labels.where("toxic = 1"), "toxic", usable, sample).unionByName(labelled(labels.where("toxic = 0"), "toxic", usable, sample))
     some = some.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _lang(docs).alias("lang")).join(F.broadcast(some), "doc_id")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
 
     def work(rows: pa.Table) -> pa.Table:
         buckets, which, lengths = batch_words(binary_column(rows, "text"))
         flat, starts = buckets[which].astype("<i4"), offsets_of(lengths)
-        return pa.table({"doc_id": rows["doc_id"], "label": rows["label"], "lang": rows["lang"], "n": pa.array(lengths), "words": pa.array([flat[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())})
+        return pa.table({"doc_id": rows["doc_id"], "label": rows["label"], "n": pa.array(lengths), "words": pa.array([flat[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())})
 
-    found = written(each_batch(known, work, "doc_id long, label int, lang string, n long, words binary"), "words")
+    found = written(each_batch(known, work, "doc_id long, label int, n long, words binary"), "words")
     sizes = found.groupBy("doc_id", "label").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # a row for each of the sample
     kept = within([tuple(r) for r in sizes], most_words)
     got = found.where(F.col("doc_id").isin(*kept)).drop("n").toArrow() if kept else found.limit(0).drop("n").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("words", "ascending")])
     order = np.argsort((np.array(got["doc_id"].to_pylist(), dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
     words = [np.frombuffer(w, dtype="<i4").reshape(-1, PARTS) for w in got["words"].to_pylist()]
-    langs = got["lang"].to_pylist()
-    return fit([words[i] for i in order], got["label"].to_numpy()[order].astype(int), [langs[i] for i in order])
+    model = fit([words[i] for i in order], got["label"].to_numpy()[order].astype(int))
+    model.fitted = got["doc_id"].to_numpy()[order][model.fitted]
+    return model
 
 
-def score(docs: DataFrame, model: Convolution) -> DataFrame:
-    """doc_id, held_out, score, predicted, threshold, flagged of every row."""
+def calibrate(model: Convolution, scores: DataFrame, labels: DataFrame, usable: Column | None = None) -> Convolution:
+    """Sets the thresholds from scores (doc_id, language, score) of all usable labelled rows that the model was not fitted on."""
+    if model.constant is not None:
+        return model
+    agreed = labels.where(_usable(usable) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("label"), F.max("toxic").alias("most"))
+    learned = scores.sparkSession.createDataFrame([(int(i),) for i in model.fitted], "doc_id long")
+    known = agreed.where("label = most").select("doc_id", F.col("label").cast("int").alias("label")).join(F.broadcast(learned), "doc_id", "left_anti")
+    step = F.floor(F.col("score") * STEPS).cast("int").alias("step")
+    met = scores.groupBy("doc_id", "language", step).agg(F.count(F.lit(1)).alias("n")).join(known, "doc_id")
+    own = met.groupBy("language", "label", "step").agg(F.sum("n").alias("n"))
+    every = own.groupBy("label", "step").agg(F.sum("n").alias("n")).withColumn("language", F.lit(None).cast("int"))
+    counts = own.where("language IS NOT NULL").unionByName(every)
+    group = Window.partitionBy("language", "label")
+    ranked = counts.withColumns({"upto": F.sum("n").over(group.orderBy("step")), "total": F.sum("n").over(group)})
+    clean, toxic = F.col("label") == 0, F.col("label") == 1
+    quantiles = ranked.groupBy("language").agg(
+        F.min(F.when(clean & (F.col("upto") >= 0.99 * F.col("total")), F.col("step"))).alias("low"),
+        F.min(F.when(toxic & (F.col("upto") >= 0.02 * F.col("total")), F.col("step"))).alias("high"),
+        F.max(F.when(clean, F.col("total"))).alias("clean"),
+        F.max(F.when(toxic, F.col("total"))).alias("toxic"),
+    )
+    rows = quantiles.where((F.col("clean") >= LEAST) & (F.col("toxic") >= LEAST)).collect()  # a row for each of LANGUAGES at most
+    model.thresholds = {r["language"]: float(np.clip((r["low"] + r["high"] + 1) / 2 / STEPS, *THRESHOLDS)) for r in rows}
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, usable: Column | None = None, most_words: int = WORDS) -> Convolution:
+    """The classifier with its thresholds, from labelled documents outside the held-out fold."""
+    model = fit_sample(docs, labels, sample, usable, most_words)
+    return calibrate(model, _scores(docs, model), labels, usable)
+
+
+def _scores(docs: DataFrame, model: Convolution) -> DataFrame:
+    """doc_id, held_out, language, score of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(rows: pa.Table) -> pa.Table:
-        known = shipped.value
-        found = known.score(binary_column(rows, "text"))
-        limits = np.array([known.threshold(x) for x in rows["lang"].to_pylist()], dtype=float)
-        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": pa.array(found, pa.float64()), "threshold": pa.array(limits), "flagged": pa.array(found >= limits)})
+        found = shipped.value.score(binary_column(rows, "text"))
+        return rows.drop_columns("text").append_column("score", pa.array(found, pa.float64()))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(FOLDS, OUT_FOLD), F.lit(False)).alias("held_out"), _language(docs).alias("language"), F.col("text").cast("binary").alias("text"))
+    return each_batch(rows, work, "doc_id long, held_out boolean, language int, score double", 4 << 20)
+
+
+def _with_threshold(rows: DataFrame, model: Convolution, language: str, threshold: str) -> DataFrame:
+    """rows with the threshold of their language; the table of thresholds has at most LANGUAGES rows."""
+    own = [(k, v) for k, v in model.thresholds.items() if k is not None]
+    limits = rows.sparkSession.createDataFrame(own, f"`{language}` int, `{threshold}` double")
+    return rows.join(F.broadcast(limits), language, "left").withColumn(threshold, F.coalesce(F.col(threshold), F.lit(model.threshold(None))))
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _lang(docs).alias("lang"), F.coalesce(held_out(FOLDS, OUT_FOLD), F.lit(False)).alias("held_out"))
-    out = each_batch(rows, work, "doc_id long, held_out boolean, score double, threshold double, flagged boolean", 4 << 20)
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", "flagged")
+def _flagged(scores: DataFrame, model: Convolution) -> DataFrame:
+    out = _with_threshold(scores, model, "language", "threshold")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
+
+
+def score(docs: DataFrame, model: Convolution) -> DataFrame:
+    """doc_id, held_out, score, predicted, threshold, flagged of every row."""
+    return _flagged(_scores(docs, model), model)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not flagged, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    """The rows of docs that are not flagged, with all their columns. Each text is scored once: rows wait in the shared folder for the thresholds."""
+    model = fit_sample(docs, labels)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    more = {n: n for n in ("score", "language", "threshold")}
+    while set(more.values()) & {n.lower() for n in names}:
+        more = {n: f"_{v}" for n, v in more.items()}
 
     def work(rows: pa.Table) -> pa.Table:
-        known = shipped.value
-        langs = rows["lang"].to_pylist() if "lang" in names else [None] * rows.num_rows
-        limits = np.array([known.threshold(x) for x in langs], dtype=float)
-        return rows.filter(pa.array(known.score(binary_column(rows, "text")) < limits)).select(names)
+        return rows.append_column(more["score"], pa.array(shipped.value.score(binary_column(rows, "text")), pa.float64()))
 
-    return each_batch(docs, work, docs.schema, 4 << 20)
+    rows = docs.withColumn(more["language"], _language(docs))
+    schema = StructType([*rows.schema.fields, StructField(more["score"], DoubleType())])
+    found = written(each_batch(rows, work, schema, 4 << 20), "scored")
+    calibrate(model, found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(more["language"]).alias("language"), F.col(more["score"]).alias("score")), labels)
+    return _with_threshold(found, model, more["language"], more["threshold"]).where(F.col(more["score"]) < F.col(more["threshold"])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_sample(docs, labels)
+    scores = written(_scores(docs, model), "scores")
+    return _flagged(scores, calibrate(model, scores, labels))

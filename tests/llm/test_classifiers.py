@@ -266,3 +266,40 @@ def test_toxicity_scores_against_plain_loops(spark, data):
         want = 1 / (1 + math.exp(-max(-40, min(40, model.slope * raw + model.offset))))
         assert found[i]["score"] == pytest.approx(want, rel=1e-3, abs=1e-6)
         assert found[i]["predicted"] == int(found[i]["score"] >= 0.3) and found[i]["flagged"] == (found[i]["score"] >= model.threshold("en"))
+
+
+def test_thresholds_come_from_all_labelled_rows_that_were_not_fitted(spark):
+    """Quantiles by language against a sort; rows fitted on, held out or with contradictory labels have no say."""
+    import zlib
+
+    number = lambda lang: None if lang is None else zlib.crc32(lang.encode()) % toxicity.LANGUAGES
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(3000):
+        label = int(rng.random() < 0.3)
+        lang = "en" if i % 3 else [None, "de", "xx"][i % 9 // 3]
+        rows.append((i, lang, label, float(np.clip(rng.normal(0.15 + 0.6 * label, 0.08), 0, 1))))
+    fitted = set(range(0, 3000, 7))
+    model = toxicity.Convolution(np.zeros((1, 1)), [], np.zeros(1), np.zeros(1), fitted=np.array(sorted(fitted)))
+    few = {i for i, lang, label, _ in rows if lang == "xx" and label == 1}
+    labels = [(i, label) for i, lang, label, _ in rows if i not in few] + [(5, 0), (5, 1)]
+    scores = spark.createDataFrame([(i, number(lang), score) for i, lang, _, score in rows], "doc_id long, language int, score double")
+    toxicity.calibrate(model, scores, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    known = [r for r in rows if r[0] not in fitted | few | {5} and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def expected(some):
+        clean, toxic = (sorted(r[3] for r in some if r[2] == k) for k in (0, 1))
+        low, high = clean[int(np.ceil(0.99 * len(clean))) - 1], toxic[int(np.ceil(0.02 * len(toxic))) - 1]
+        return float(np.clip((low + high) / 2, *toxicity.THRESHOLDS))
+
+    assert set(model.thresholds) == {None, number("en"), number("de")}
+    for lang in ("en", "de"):
+        assert abs(model.threshold(lang) - expected([r for r in known if r[1] == lang])) < 2 / toxicity.STEPS
+    assert abs(model.threshold(None) - expected(known)) < 2 / toxicity.STEPS
+    assert model.threshold("xx") == model.threshold(None)
+
+
+def test_keep_clean_with_columns_of_its_own_names(spark, data):
+    docs = data[0].limit(80).withColumns({"language": F.lit("x"), "score": F.lit(1), "Threshold": F.lit(2)})
+    clean = toxicity.keep_clean(docs, data[1])
+    assert clean.columns == docs.columns and 0 < clean.count() <= 80
