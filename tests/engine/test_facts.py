@@ -16,3 +16,13 @@ def test_facts_are_sought_in_all_sources(spark, tmp_path):
     spark.createDataFrame([(1, "one fact. other fact")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, "one fact", "src7"), (2, "x other fact x", "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert q_evaluation.fact_coverage(spark, str(tmp_path)).first()["matched"] == 2
+
+
+def test_facts_by_automaton_and_by_comparison(spark, monkeypatch):
+    facts = spark.createDataFrame([(1, ""), (1, "é  ß"), (2, "ab"), (2, "abc"), (2, "bcd"), (2, "zz"), (3, None)], "query int, fact string")
+    texts = spark.createDataFrame([("xabcdx",), ("É ß",), (None,)], "text string")
+    forms = []
+    for limit in (evaluation.FACT_BYTES, -1):
+        monkeypatch.setattr(evaluation, "FACT_BYTES", limit)
+        forms.append({tuple(r) for r in evaluation.fact_coverage_any(facts, texts).collect()} | {("none", *r) for r in evaluation.fact_coverage_any(facts, texts.limit(0)).collect()})
+    assert forms[0] == forms[1] and (2, 3, 4, 0.75) in forms[0]
