@@ -71,10 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def forget(spark: SparkSession, keep: DataFrame) -> None:
-    """Deletes the tables that written() made here so far, but for those that keep reads."""
+def made() -> frozenset[str]:
+    """The tables that written() has made here and that are still there."""
+    return frozenset(_MADE)
+
+
+def forget(spark: SparkSession, keep: DataFrame, older: frozenset[str] = frozenset()) -> None:
+    """Deletes the tables that written() made here, but for those that keep reads and for older ones, which other frames may still read."""
     used = keep.inputFiles()
-    for place in [p for p in _MADE if not any(f"/{p.rsplit('/', 1)[1]}/" in file for file in used)]:
+    for place in [p for p in _MADE if p not in older and not any(f"/{p.rsplit('/', 1)[1]}/" in file for file in used)]:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _MADE.remove(place)
