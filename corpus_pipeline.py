@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, toxicity, exact copies, near copies, packing.
 
 Each stage works on all that its predecessor kept and is written and read again before the
-next one starts; what earlier stages wrote on the way is deleted then. SQL cannot express the
+next one starts; what earlier stages of the same run wrote on the way is deleted then. SQL cannot express the
 trained stages, so there is no ORACLE_SQL; the tests hold the result against a brute-force
 version, also with null and repeated doc_ids, repeated rows and empty texts. A table without
 rows gives no rows.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvale.llm import exact_dedup, packing, quality, simhash, toxicity
 from corvale.llm.bpe import default_tokenizer
-from corvale.llm.common import forget, table, written
+from corvale.llm.common import forget, made, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, older = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
-        forget(spark, keep=docs)
+        forget(spark, keep=docs, older=older)
     return docs
