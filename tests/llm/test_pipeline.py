@@ -6,7 +6,7 @@ import shutil
 import xxhash
 
 import corpus_pipeline
-from corvale.llm import packing, quality, toxicity
+from corvale.llm import common, packing, quality, toxicity
 from corvale.llm.bpe import default_tokenizer
 
 DIR = "/root/testdata/sf0.001"
@@ -32,6 +32,15 @@ def test_stages_follow_each_other(spark):
     assert packed.count() == corpus_pipeline.run(spark, DIR).count()
 
 
+def test_a_run_deletes_its_own_tables_only(spark):
+    held = toxicity.query(spark, DIR)
+    before = common.made()
+    assert corpus_pipeline.run(spark, DIR).count() > 0
+    left = common.made()
+    assert before <= left and len(left - before) == 1  # the last stage's result
+    assert held.count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
 def test_rejections_take_effect(spark):
     docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(docs, quality.train(docs, labels))
