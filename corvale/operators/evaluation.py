@@ -313,6 +313,14 @@ def pct_delta(before: Column, after: Column) -> Column:
     return F.when(before == 0, 0.0).otherwise(F.bround((after - before) / before * 100.0, 2))
 
 
+def by_path(files: DataFrame) -> DataFrame:
+    """Whole files for a join by path: sorted and merged over many partitions. Their stored size tells little about their size
+    in memory, so Catalyst would broadcast, or gather into few partitions, what does not fit."""
+    session = files.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return files.repartition(parts, "path").hint("merge")
+
+
 def materialized(gold: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Gold targets with resolved spans, snippets and validation errors.
 
@@ -405,9 +413,9 @@ def retrieved_contexts(citations: DataFrame, files: DataFrame, targets: DataFram
 
     unique = first_by(citations.where("trim(coalesce(path, '')) <> ''"), [F.col("query_id"), F.col("path"), F.coalesce("start_line", F.lit(-1)), F.coalesce("end_line", F.lit(-1))])
     gold = targets.where("trim(coalesce(snippet, '')) <> ''").groupBy(F.col("query_id").alias("g_id"), F.col("path").alias("g_path"), F.col("start_line").alias("g1"), F.col("end_line").alias("g2")).agg(F.min_by("snippet", "target_no").alias("gold"))
-    rows = unique.join(files.select("path", "content"), "path", "left")
+    rows = unique.join(by_path(files.select("path", "content")), "path", "left")
     same = (F.col("query_id") == F.col("g_id")) & (F.col("path") == F.col("g_path")) & F.col("start_line").eqNullSafe(F.col("g1")) & F.col("end_line").eqNullSafe(F.col("g2"))
-    rows = rows.join(gold, same, "left")
+    rows = rows.join(gold.hint("merge"), same, "left")
     open_span = F.col("start_line").isNull() | F.col("end_line").isNull()
     n = F.size(F.split("content", "\n"))
     cut = F.when(open_span, line_slice(F.col("content"), F.lit(1), F.lit(CONTEXT_LINES))).when((F.col("start_line") <= n) & (F.col("start_line") <= F.col("end_line")), line_slice(F.col("content"), F.col("start_line"), F.col("end_line")))
