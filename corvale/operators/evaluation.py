@@ -330,8 +330,10 @@ def materialized(gold: DataFrame, files: DataFrame, symbols: DataFrame) -> DataF
     from corvale.operators.extraction import lines
 
     spans = symbols.groupBy("path", "symbol_name").agg(F.count(F.lit(1)).alias("n"), F.first("start_line").alias("s1"), F.first("end_line").alias("s2"))
-    rows = gold.join(files.select("path", "content", F.size(lines(F.col("content"))).alias("n_lines")), "path", "left").join(spans, ["path", "symbol_name"], "left")
-    missing, by_symbol = F.col("content").isNull(), F.col("path").endswith(".py") & (F.coalesce("symbol_name", F.lit("")) != "")
+    # whole files are dealt out by path, never broadcast; without the snippet only their line counts move
+    held = by_path(files.where("content IS NOT NULL").select("path", "content", F.size(lines(F.col("content"))).alias("n_lines")))
+    rows = gold.join(held, "path", "left").join(spans.hint("merge"), ["path", "symbol_name"], "left")
+    missing, by_symbol = F.col("n_lines").isNull(), F.col("path").endswith(".py") & (F.coalesce("symbol_name", F.lit("")) != "")
     one = by_symbol & (F.col("n") == 1)
     start, end = F.coalesce("start_line", F.when(one, F.col("s1"))), F.coalesce("end_line", F.when(one, F.col("s2")))
     first, last = F.coalesce(start, end), F.coalesce(end, start)

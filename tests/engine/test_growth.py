@@ -19,3 +19,13 @@ def test_cited_files_are_not_broadcast(spark):
     rows = evaluation.retrieved_contexts(cited, files, gold.selectExpr("*", "'gold' AS snippet"))
     assert {(r["query_id"], r["text"]) for r in rows.collect()} == {(1, "y\nz"), (2, "gold")}
     assert "Broadcast" not in plan_of(rows)
+
+
+def test_gold_moves_no_contents_without_snippets(spark):
+    files = spark.createDataFrame(FILES, "path string, content string")
+    symbols = spark.createDataFrame([("a.py", "f", 1, 2)], "path string, symbol_name string, start_line int, end_line int")
+    rows = evaluation.materialized(spark.createDataFrame([*GOLD, (4, 1, "null.py", None, 1, 1)], GOLD_COLUMNS), files, symbols)
+    found = {r["query_id"]: (r["strategy"], r["start_line"], r["end_line"], r["snippet"], r["valid"]) for r in rows.collect()}
+    assert found == {1: ("span", 1, 2, "x\ny", True), 2: (None, None, None, None, False), 3: ("whole_file", None, None, "", True), 4: (None, None, None, None, False)}
+    plan = plan_of(rows.drop("snippet"))
+    assert "Broadcast" not in plan and not any("Exchange" in x and "content" in x for x in plan.splitlines())
