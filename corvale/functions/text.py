@@ -147,6 +147,23 @@ def csv_tokens(raw: str, prefix_dot: bool = False) -> set[str]:
     return {"." + t if prefix_dot and not t.startswith(".") else t for t in cleaned if t}
 
 
+@lru_cache(maxsize=1)
+def _capitals() -> tuple[str, str]:
+    """Letters and their capitals where both are one code point: the full capital, else the title form; ẞ for ß."""
+    pairs = [("ß", "ẞ")]
+    for c in map(chr, [*range(0x61, 0xD800), *range(0xE000, 0x20000)]):
+        big = c.upper() if len(c.upper()) == 1 else c.title()
+        if c != "ß" and len(big) == 1 and big != c:
+            pairs.append((c, big))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def upper_each(text: Column) -> Column:
+    """Capitals code point by code point, as SQL's upper has it: the length stays, so ß does not become SS."""
+    small, big = _capitals()
+    return F.when(F.octet_length(text) == F.char_length(text), F.upper(text)).otherwise(F.translate(text, small, big))
+
+
 def line_slice(content: Column, start: Column, end: Column) -> Column:
     """Lines start to end, counted from 1, both included."""
     lines = F.split(content, "\n")

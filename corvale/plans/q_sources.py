@@ -69,7 +69,7 @@ changes AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL TH
 
 def _two_scans(spark, sf_dir):
     files = t.files(spark, sf_dir)
-    return files.where("lang <> 'es'"), files.where("source <> 'src5'").withColumn("content", F.when(F.col("lang") == "fr", F.upper("content")).otherwise(F.col("content")))
+    return files.where("lang <> 'es'"), files.where("source <> 'src5'").withColumn("content", F.when(F.col("lang") == "fr", text.upper_each(F.col("content"))).otherwise(F.col("content")))
 
 
 @query("incremental_diff", f"WITH {_TWO_SCANS} SELECT path, change FROM changes WHERE change IS NOT NULL")

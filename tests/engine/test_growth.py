@@ -1,5 +1,7 @@
 """Plans and steps that must not grow faster than their input."""
 
+from pyspark.sql import functions as F
+
 from corvale.operators import evaluation
 
 
@@ -29,3 +31,15 @@ def test_gold_moves_no_contents_without_snippets(spark):
     assert found == {1: ("span", 1, 2, "x\ny", True), 2: (None, None, None, None, False), 3: ("whole_file", None, None, "", True), 4: (None, None, None, None, False)}
     plan = plan_of(rows.drop("snippet"))
     assert "Broadcast" not in plan and not any("Exchange" in x and "content" in x for x in plan.splitlines())
+
+
+def test_capitals_equal_those_of_sql(spark):
+    import duckdb
+
+    from corvale.functions.text import upper_each
+
+    sql = "SELECT i AS code, upper(chr(i) || 'a') AS big FROM (SELECT unnest(range(1, 1114112))::INT AS i) WHERE i NOT BETWEEN 55296 AND 57343"
+    want = duckdb.connect().execute(sql).fetchall()
+    rows = spark.createDataFrame([(i, chr(i) + "a") for i, _ in want if i < 0x20000], "code int, small string")
+    found = {r["code"]: r["big"] for r in rows.select("code", upper_each(F.col("small")).alias("big")).collect()}
+    assert {i: b for i, b in want if found.get(i, chr(i) + "A") != b} == {}
