@@ -147,9 +147,9 @@ def dependency_inventory(edges: DataFrame, external: DataFrame, module: str | No
     return inner.unionByName(outer).distinct()
 
 
-def module_files(files: DataFrame, module: str, limit: int = 500, offset: int = 0) -> DataFrame:
-    rows = files.where(in_module(F.col("path"), F.lit(module))).select(*_named(files)).distinct()
-    return rows.select("label", "path", F.lit("file").alias("kind")).orderBy("path").offset(offset).limit(limit)
+def module_files(files: DataFrame, module: str, limit: int | None = 500, offset: int = 0) -> DataFrame:
+    rows = files.where(in_module(F.col("path"), F.lit(module))).select(*_named(files)).distinct().select("label", "path", F.lit("file").alias("kind"))
+    return rows if limit is None else rows.orderBy("path").offset(offset).limit(limit)
 
 
 def modules(files: DataFrame) -> DataFrame:

@@ -25,27 +25,29 @@ def pagination(page: int, page_size: int) -> tuple[int, int]:
     return max(1, int(page or 1)), min(300, int(page_size)) if page_size and int(page_size) > 0 else 80
 
 
-def entities(files: DataFrame, symbols: DataFrame, edges: DataFrame, external: DataFrame, term: str, module: str | None = None, alias_limit: int = ALIAS_LIMIT, entity_limit: int = ENTITY_LIMIT) -> DataFrame:
+def entities(files: DataFrame, symbols: DataFrame, edges: DataFrame, external: DataFrame, term: str, module: str | None = None, alias_limit: int | None = ALIAS_LIMIT, entity_limit: int | None = ENTITY_LIMIT) -> DataFrame:
     """(label, path, kind, line): what an inventory term finds under all of its spellings.
 
     All aliases are matched in one pass over files and symbols; each alias gives at most entity_limit rows, and
-    a path (for dependencies with label and kind) counts once, for the first alias that finds it."""
-    names, canonical = driver_value(files, F.struct(F.slice(aliases(F.lit(term)), 1, alias_limit).alias("a"), canonical_term(F.lit(term)).alias("c")))
+    a path (for dependencies with label and kind) counts once, for the first alias that finds it. Without limits
+    all aliases and rows count."""
+    spelled = aliases(F.lit(term))
+    names, canonical = driver_value(files, F.struct((spelled if alias_limit is None else F.slice(spelled, 1, alias_limit)).alias("a"), canonical_term(F.lit(term)).alias("c")))
     if module and canonical in BROAD_TERMS:
         return graph.module_files(files, module, entity_limit).withColumn("line", F.lit(1))
     found = None
     for i, alias in enumerate(names):
         if alias in DEPENDENCY_TERMS:
-            rows = graph.dependency_inventory(edges, external, module).orderBy("kind", "path", "label")
+            rows, order = graph.dependency_inventory(edges, external, module), ("kind", "path", "label")
         else:
-            rows = graph.inventory(files, symbols, alias, module).withColumn("line", F.lit(1)).orderBy("path")
-        rows = rows.limit(entity_limit).withColumn("nth", F.lit(i))
+            rows, order = graph.inventory(files, symbols, alias, module).withColumn("line", F.lit(1)), ("path",)
+        rows = (rows if entity_limit is None else rows.orderBy(*order).limit(entity_limit)).withColumn("nth", F.lit(i))
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return graph.inventory(files, symbols, term, module).withColumn("line", F.lit(1)).limit(0)
     key = ["path", "line", "label", "kind"] if canonical in DEPENDENCY_TERMS else ["path", "line"]
-    first = found.withColumn("seen", F.row_number().over(Window.partitionBy(*key).orderBy("nth", "label", "kind"))).where("seen = 1")
-    return first.select("label", "path", "kind", "line")
+    first = found.groupBy(*key).agg(F.min(F.struct("nth", "label", "kind")).alias("x"))
+    return first.select("x.label", "path", "x.kind", "line") if len(key) == 2 else first.select("label", "path", "kind", "line")
 
 
 def entity_counts(files: DataFrame, symbols: DataFrame, terms: DataFrame, block: int = TERM_BLOCK) -> DataFrame:
@@ -131,13 +133,13 @@ def route(query: Column) -> Column:
 
 
 def inventory_response(files: DataFrame, symbols: DataFrame, edges: DataFrame, external: DataFrame, query: str, page: int = 1, page_size: int = 80, purposes: DataFrame | None = None) -> DataFrame:
-    """A page of what an inventory question finds, with the total; explanations join purposes (path, purpose_summary)."""
+    """A page of all that an inventory question finds, with the total; explanations join purposes (path, purpose_summary)."""
     term, module, explain = driver_value(files, F.struct(inventory_target(F.lit(query)).alias("t"), intents.module_name(F.lit(query)).alias("m"), intents.is_explain_query(F.lit(query)).alias("e")))
     if term is None:
         return files.select(F.lit("").alias("label"), "path", F.lit("").alias("kind"), F.lit(1).alias("line"), F.lit(0).cast("long").alias("total")).limit(0)
     scope = resolve_module(graph.modules(files), module).first()["module"] if module else None
     p, size = pagination(page, page_size)
-    rows = entities(files, symbols, edges, external, term, scope)
+    rows = entities(files, symbols, edges, external, term, scope, None, None)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     paged = rows.orderBy("path", "label", "kind").offset((p - 1) * size).limit(size).join(F.broadcast(total), how="inner", on=F.lit(True))
     if explain and purposes is not None:

@@ -43,3 +43,14 @@ def test_capitals_equal_those_of_sql(spark):
     rows = spark.createDataFrame([(i, chr(i) + "a") for i, _ in want if i < 0x20000], "code int, small string")
     found = {r["code"]: r["big"] for r in rows.select("code", upper_each(F.col("small")).alias("big")).collect()}
     assert {i: b for i, b in want if found.get(i, chr(i) + "A") != b} == {}
+
+
+def test_inventory_pages_count_all_entities(spark):
+    from corvale.operators import inventory
+
+    rows = spark.range(1203).select(F.lit("corpus").alias("repo_id"), F.format_string("mod4/f_%04d.py", "id").alias("path"), F.lit("python").alias("language"), F.lit("N").alias("symbol_name"), F.lit("class").alias("symbol_type"))
+    edges = spark.createDataFrame([], "source_path string, target_path string")
+    external = spark.createDataFrame([], "source_path string, target_ref string, line int")
+    for question in ("inventory of all clases in module mod4", "inventory of all files in module mod4"):
+        page = inventory.inventory_response(rows.select("repo_id", "path", "language"), rows, edges, external, question, 121, 10).collect()
+        assert [(r["path"], r["total"]) for r in page] == [(f"mod4/f_{n:04d}.py", 1203) for n in range(1200, 1203)], question
