@@ -179,9 +179,11 @@ def token_estimate(text: Column) -> Column:
 
 
 def fallback_embedding(text: Column, dimension: int = 256) -> Column:
-    """A vector from the bytes of the text's SHA-256, repeated, each divided by 255."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0)
+    """A vector from the bytes of the text's SHA-256, repeated, each divided by 255. The digest is bound once, as the item of
+    an array; in a lambda over all components it would be taken for each of them."""
+    byte = lambda h, i: F.conv(F.substr(h, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("double") / 255.0
+    values = F.element_at(F.transform(F.array(F.sha2(text, 256)), lambda h: F.array(*[byte(h, i) for i in range(min(32, dimension))])), 1)
+    return values if dimension <= 32 else F.slice(F.flatten(F.array_repeat(values, -(-dimension // 32))), 1, dimension)
 
 
 def repo_id(url: Column, branch: Column) -> Column:

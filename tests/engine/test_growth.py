@@ -54,3 +54,17 @@ def test_inventory_pages_count_all_entities(spark):
     for question in ("inventory of all clases in module mod4", "inventory of all files in module mod4"):
         page = inventory.inventory_response(rows.select("repo_id", "path", "language"), rows, edges, external, question, 121, 10).collect()
         assert [(r["path"], r["total"]) for r in page] == [(f"mod4/f_{n:04d}.py", 1203) for n in range(1200, 1203)], question
+
+
+def test_fallback_embedding_takes_one_digest(spark):
+    import hashlib
+
+    from corvale.functions.text import fallback_embedding
+
+    rows = spark.createDataFrame([("",), ("é x",)], "text string")
+    for dimension in (5, 32, 300):
+        made = rows.select("text", fallback_embedding(F.col("text"), dimension).alias("e"))
+        for r in made.collect():
+            digest = hashlib.sha256(r["text"].encode()).digest()
+            assert r["e"] == [digest[i % 32] / 255.0 for i in range(dimension)]
+        assert "sequence(" not in plan_of(made)
