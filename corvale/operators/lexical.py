@@ -10,9 +10,13 @@ text functions that feed the postings.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,12 @@ from corvale.functions.text import fold_accents
 
 #: Field weights of the classes A, B and C.
 WEIGHTS = {"symbol_name": 1.0, "path": 0.4, "doc": 0.2}
+POSTING = "repo_id string, id string, term string, field string, occurrences long"
+WORD = re.compile("[a-z0-9]+")
+#: Postings in a batch that Python hands back.
+OUT_ROWS = 50_000
+#: Characters of questions that every task may hold.
+ASKED_CHARS = 16_000_000
 
 
 def terms(text: Column) -> Column:
@@ -28,18 +38,55 @@ def terms(text: Column) -> Column:
 
 def query_terms(text: str) -> list[str]:
     """Distinct words of a query, folded like the documents."""
-    import re
-
     from corvale.functions.inventory_terms import plain_token
 
     return list(dict.fromkeys(re.findall("[a-z0-9]+", plain_token(text))))
 
 
+def _folded(corpus: DataFrame) -> DataFrame:
+    """repo_id, id and the fields of a corpus, lower-case and without marks, as terms() sees them."""
+    return corpus.select("repo_id", "id", *[fold_accents(F.lower(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in WEIGHTS])
+
+
+def _counts(row: dict) -> dict[str, Counter]:
+    return {f: Counter(WORD.findall(row[f])) for f in WEIGHTS}
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded rows to postings, each row by itself."""
+    schema = pa.schema([("repo_id", pa.string()), ("id", pa.string()), ("term", pa.string()), ("field", pa.string()), ("occurrences", pa.int64())])
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for row in _rows(batch):
+            for field, words in _counts(row).items():
+                n = len(words)
+                for column, values in zip(out, ([row["repo_id"]] * n, [row["id"]] * n, words.keys(), [field] * n, words.values())):
+                    column.extend(values)
+            if len(out[0]) >= OUT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, schema)], schema=schema)
+                out = [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, schema)], schema=schema)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    columns = [batch.column(n) for n in range(len(names))]
+    for at in range(batch.num_rows):
+        yield {name: column[at].as_py() for name, column in zip(names, columns)}
+
+
+def _ids_repeat(corpus: DataFrame) -> bool:
+    return not corpus.groupBy("repo_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """(repo_id, id, term, field, occurrences) of a corpus: the index to write bucketed by term."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("words")) for f in WEIGHTS])
-    words = corpus.select("repo_id", "id", F.explode(parts).alias("part")).select("repo_id", "id", "part.field", F.explode("part.words").alias("term"))
-    return words.groupBy("repo_id", "id", "term", "field").agg(F.count(F.lit(1)).alias("occurrences"))
+    """(repo_id, id, term, field, occurrences) of a corpus: the index to write bucketed by term.
+
+    Words are counted row by row, without a shuffle; only if an id comes in several rows their counts are added up."""
+    counted = _folded(corpus).mapInArrow(_count, POSTING)
+    if not _ids_repeat(corpus):
+        return counted
+    return counted.groupBy("repo_id", "id", "term", "field").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def _is(word: str):
@@ -77,12 +124,58 @@ def search_many(index: DataFrame, queries: DataFrame, top_n: int = 50) -> DataFr
     """(query_id, id, score, rank) for a table of queries (query_id, repo_id, text) over written postings."""
     asked = queries.select("query_id", "repo_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    return _best(asked.join(index, ["repo_id", "term"]), wanted, top_n)
+
+
+def _best(met: DataFrame, wanted: DataFrame, top_n: int) -> DataFrame:
+    """The top_n of each query among the documents whose postings it met, all of its words."""
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
-    hits = asked.join(index, ["repo_id", "term"]).groupBy("query_id", "id").agg(F.count_distinct("term").alias("found"), F.sum(weight[F.col("field")] * F.log2(1 + F.col("occurrences"))).alias("score"))
+    hits = met.groupBy("query_id", "id").agg(F.count_distinct("term").alias("found"), F.sum(weight[F.col("field")] * F.log2(1 + F.col("occurrences"))).alias("score"))
     full = hits.join(wanted, "query_id").where("found = wanted").drop("found", "wanted")
     return full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= top_n)
 
 
+def search_corpus(corpus: DataFrame, queries: DataFrame, top_n: int = 50) -> DataFrame:
+    """As search_many, over a corpus whose postings are not written: each row is counted and asked at once, and only postings of
+    rows that hold all words of a question leave their task.
+
+    A question is looked up by its rarest word (over the questions) and its other words are then tried in turn. Ids in several
+    rows, and questions too large for every task to hold, take the way over the postings."""
+    asked = queries.select("query_id", "repo_id", F.array_distinct(terms(F.col("text"))).alias("words")).where("size(words) > 0")
+    size = asked.agg(F.coalesce(F.sum(F.length(F.array_join("words", " "))), F.lit(0))).first()[0]
+    if size > ASKED_CHARS or _ids_repeat(corpus) or asked.groupBy("query_id").count().where("count > 1").count():
+        return search_many(postings(corpus), queries, top_n)
+    rows = [tuple(r) for r in asked.select("query_id", "repo_id", "words").collect()]
+    use = Counter(w for *_, words in rows for w in words)
+    by_word: dict[tuple, list] = {}
+    for query, repo, words in rows:
+        first, *rest = sorted(words, key=lambda w: (use[w], -len(w), w))
+        by_word.setdefault((repo, first), []).append((query, words, rest))
+    shipped = corpus.sparkSession.sparkContext.broadcast(by_word)
+    kind = dict(queries.dtypes)["query_id"]
+    schema = f"query_id {kind}, id string, term string, field string, occurrences long"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        for batch in batches:
+            out = []
+            for row in _rows(batch):
+                counts = _counts(row)
+                held = set().union(*counts.values())
+                for word in held:
+                    for query, words, rest in known.get((row["repo_id"], word), ()):
+                        if all(w in held for w in rest):
+                            out += [(query, row["id"], w, f, c[w]) for w in words for f, c in counts.items() if w in c]
+            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "id", "term", "field", "occurrences"), x)) for x in out], schema=to_arrow_schema(met_schema))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    met_schema = StructType.fromDDL(schema)
+    wanted = asked.select("query_id", F.size("words").cast("long").alias("wanted"))
+    return _best(_folded(corpus).mapInArrow(meet, schema), wanted, top_n)
+
+
 def file_document(corpus: DataFrame, repo: str, path: str, entity_type: str = "file_full") -> DataFrame:
     return corpus.where((F.col("repo_id") == repo) & (F.col("path") == path) & (F.col("entity_type") == entity_type)).orderBy("id").limit(1)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.session import spread
+from corvale.session import deal_out, spread
 
 REPO = "corpus"
 
@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return spread(read(spark, sf_dir, "documents")).select(F.lit(REPO).alias("repo_id"), path.alias("path"), F.lit("markdown").alias("language"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang", "source")
+    return deal_out(read(spark, sf_dir, "documents")).select(F.lit(REPO).alias("repo_id"), path.alias("path"), F.lit("markdown").alias("language"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang", "source")
 
 
 FILES = "files AS (SELECT 'corpus' AS repo_id, source || '/' || lang || '/doc_' || doc_id || '.md' AS path, 'markdown' AS language, coalesce(text, '') AS content, doc_id, lang, source FROM documents)"

@@ -54,3 +54,9 @@ def spread(df: DataFrame) -> DataFrame:
     everything before the next shuffle done, by one task; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def deal_out(df: DataFrame) -> DataFrame:
+    """The same rows in even partitions, four for each core at least. A large file of few row groups has many partitions of which few
+    hold rows, so their number says nothing of the balance."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))

@@ -68,3 +68,40 @@ def test_fallback_embedding_takes_one_digest(spark):
             digest = hashlib.sha256(r["text"].encode()).digest()
             assert r["e"] == [digest[i % 32] / 255.0 for i in range(dimension)]
         assert "sequence(" not in plan_of(made)
+
+
+CORPUS = "repo_id string, id string, doc string, path string, symbol_name string"
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    from corvale.operators import lexical
+
+    rows = [("r", "1", "Été ete, A-b b", "p/a", "Run"), ("r", "2", None, "p/b", "")]
+    once = lexical.postings(spark.createDataFrame(rows, CORPUS))
+    assert "Exchange" not in plan_of(once)
+    want = {("r", "1", "ete", "doc", 2), ("r", "1", "a", "doc", 1), ("r", "1", "b", "doc", 2), ("r", "1", "p", "path", 1), ("r", "1", "a", "path", 1), ("r", "1", "run", "symbol_name", 1), ("r", "2", "p", "path", 1), ("r", "2", "b", "path", 1)}
+    assert {tuple(r) for r in once.select("repo_id", "id", "term", "field", "occurrences").collect()} == want
+    twice = {tuple(r) for r in lexical.postings(spark.createDataFrame([*rows, *rows], CORPUS)).select("repo_id", "id", "term", "field", "occurrences").collect()}
+    assert twice == {(*x, 2 * n) for *x, n in want}
+
+
+def test_questions_over_a_corpus_equal_those_over_postings(spark, monkeypatch):
+    from corvale.operators import lexical
+
+    rows = [("r", "1", "the red fox", "p/a", ""), ("r", "2", "fox the the", "p/red", "Red"), ("r", "3", "the", "p", ""), ("s", "4", "the red fox", "p", "")]
+    queries = spark.createDataFrame([(1, "r", "Red fox"), (2, "r", "the"), (3, "r", "absent the"), (4, "s", "fox"), (5, "r", " .")], "query_id long, repo_id string, text string")
+    corpus = spark.createDataFrame(rows, CORPUS)
+    want = {(r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in lexical.search_many(lexical.postings(corpus), queries, 2).collect()}
+    monkeypatch.setattr(lexical, "postings", None)  # only rows that answer leave their task
+    found = {(r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in lexical.search_corpus(corpus, queries, 2).collect()}
+    assert found == want and {x[0] for x in found} == {1, 2, 4}
+
+
+def test_lines_do_not_carry_all_lines_of_their_text(spark):
+    from corvale.operators.extraction import numbered_lines
+
+    rows = numbered_lines(spark.createDataFrame([("r", "p", "markdown", "a\nb\n")], "repo_id string, path string, language string, content string"))
+    assert [(r["line_no"], r["line"], r["n_lines"]) for r in rows.collect()] == [(1, "a", 2), (2, "b", 2)]
+    made = rows.queryExecution.optimizedPlan().toString() if hasattr(rows, "queryExecution") else rows._jdf.queryExecution().optimizedPlan().toString()
+    top = made[: made.index("Generate")]
+    assert "all#" not in top
