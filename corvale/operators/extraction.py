@@ -26,7 +26,8 @@ def lines(content: Column) -> Column:
 def numbered_lines(files: DataFrame, keep: tuple[str, ...] = ("repo_id", "path", "language")) -> DataFrame:
     """(keep..., line_no, line, n_lines), lines from 1."""
     split = files.select(*keep, lines(F.col("content")).alias("all"))
-    return split.select(*keep, F.size("all").alias("n_lines"), F.posexplode("all").alias("at", "line")).select(*keep, (F.col("at") + 1).alias("line_no"), "line", "n_lines")
+    sized = split.select(*keep, F.size("all").alias("n_lines"), "all")  # before the lines part, or each would carry all of them
+    return sized.select(*keep, "n_lines", F.posexplode("all").alias("at", "line")).select(*keep, (F.col("at") + 1).alias("line_no"), "line", "n_lines")
 
 
 def chunk_id(repo: Column, path: Column, name: Column, start: Column) -> Column:
