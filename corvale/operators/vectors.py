@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ MODEL_DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 30
 DEFAULT_DIMENSION = 768
 COLLECTIONS = ("code_symbols", "code_files", "code_modules")
 MAX_EMBEDDED_CHARS = 12_000
+#: Queries and rows of one matrix product, pairs computed anew at a time, and what a product may be off by, rounding included.
+QUERY_TILE, ROW_TILE, PAIR_TILE, MARGIN = 1_000, 2_000, 100_000, 4e-9
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -47,18 +54,97 @@ def top_k_per_collection(vectors: DataFrame, query: list[float], k: int, space:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("collection").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
-def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, space: str = "cosine", block: int = 2_000) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows for each query (query_id, query), exactly.
+def _seq_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row dot products, summed in the order of the components, as _dot does."""
+    total = np.zeros(len(a))
+    for n in range(a.shape[1]):
+        total += a[:, n] * b[:, n]
+    return total
+
+
+class _Nearest:
+    """The k best of each query among the vectors seen so far, by rounded cosine distance, then id.
+
+    One matrix product gives distances to within MARGIN; only what may still enter is then computed exactly."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k = queries, k
+        self.norm = _seq_dot(queries, queries)
+        with np.errstate(all="ignore"):
+            self.unit = queries / np.sqrt(self.norm)[:, None]
+        self.best: list[list] = [[] for _ in queries]
+        self.bound = np.full(len(queries), np.inf)
+
+    def add(self, ids: list, rows: np.ndarray) -> None:
+        norm = _seq_dot(rows, rows)
+        with np.errstate(all="ignore"):
+            unit = rows / np.sqrt(norm)[:, None]
+            for at in range(0, len(self.q), QUERY_TILE):
+                part = slice(at, at + QUERY_TILE)
+                near = 1 - self.unit[part] @ unit.T
+                held = ~(near > (self.bound[part] + MARGIN)[:, None])  # NaN may enter too
+                if len(ids) > 4 * self.k:  # the k-th of this tile bounds what may enter
+                    kth = np.partition(np.where(np.isnan(near), np.inf, near), self.k - 1, axis=1)[:, self.k - 1] if np.isinf(self.bound[part]).any() else None
+                    held &= ~(near > (kth + MARGIN)[:, None]) if kth is not None else True
+                which, row = np.nonzero(held)
+                which += at
+                exact = np.concatenate([1 - _seq_dot(rows[r], self.q[w]) / np.sqrt(norm[r] * self.norm[w]) for w, r in ((which[n : n + PAIR_TILE], row[n : n + PAIR_TILE]) for n in range(0, max(1, len(which)), PAIR_TILE))])
+                rounded = np.where(np.isnan(exact), np.inf, np.floor(exact * 1e9 + 0.5) / 1e9)
+                for n in np.flatnonzero(np.diff(which, prepend=-1)):
+                    w = which[n]
+                    end = np.searchsorted(which, w, side="right")
+                    fresh = [(rounded[m], ids[row[m]], exact[m]) for m in range(n, end)]
+                    self.best[w] = heapq.nsmallest(self.k, self.best[w] + fresh, key=lambda x: x[:2])
+                    if len(self.best[w]) == self.k:
+                        self.bound[w] = self.best[w][-1][0]
+
+
+def _nearest(asked: DataFrame, k: int):
+    """Partition function over (id, embedding): the k best of each asked vector within the partition."""
+    groups: dict[int, tuple[list, list]] = {}
+    for r in asked.collect():
+        if r["query"] is not None and None not in r["query"]:
+            names, rows = groups.setdefault(len(r["query"]), ([], []))
+            names.append(r["query_id"])
+            rows.append(r["query"])
+    shipped = asked.sparkSession.sparkContext.broadcast({n: (names, np.array(rows, dtype=np.float64)) for n, (names, rows) in groups.items() if n})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = {n: _Nearest(rows, k) for n, (_, rows) in shipped.value.items()}
+        for batch in batches:
+            batch = batch[[e is not None for e in batch["embedding"]]]
+            for n, own in batch.groupby(batch["embedding"].map(len)):
+                if n not in best:
+                    continue
+                good = [e.dtype != object or all(x is not None for x in e) for e in own["embedding"]]
+                own = own[good]
+                for at in range(0, len(own), ROW_TILE):
+                    some = own.iloc[at : at + ROW_TILE]
+                    best[n].add(some["id"].tolist(), np.stack([np.asarray(e, dtype=np.float64) for e in some["embedding"]]))
+        for n, found in best.items():
+            rows = [(name, i, d) for name, top in zip(shipped.value[n][0], found.best) for _, i, d in top]
+            yield pd.DataFrame(rows, columns=["query_id", "id", "distance"])
+
+    return run
+
+
+def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, space: str = "cosine", block: int = 20_000) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows for each query (query_id, query), exactly; distances count to 9 places.
 
     Queries meet all rows in blocks of about block, each small enough to be broadcast; each partition keeps its own k best of a
-    query before the shuffle."""
+    query before the shuffle. Cosine distances are matrix products, what may count is computed anew in order of components. The
+    job stays one comparison for each query and row."""
     blocks = max(1, -(-queries.count() // block))
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
     found = None
     for n in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        pairs = vectors.select("id", "embedding").join(F.broadcast(some.select("query_id", "query")), how="inner", on=F.lit(True))
-        near = pairs.select("query_id", "id", distance(F.col("embedding"), F.col("query"), space).alias("distance")).where("distance IS NOT NULL")
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+        if space == "cosine":
+            near = vectors.select("id", "embedding").mapInPandas(_nearest(some.select("query_id", "query"), k), f"query_id {kinds['query_id']}, id {kinds['id']}, distance double")
+        else:
+            pairs = vectors.select("id", "embedding").join(F.broadcast(some.select("query_id", "query")), how="inner", on=F.lit(True))
+            near = pairs.select("query_id", "id", distance(F.col("embedding"), F.col("query"), space).alias("distance")).where("distance IS NOT NULL")
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))).where(F.col("rank") <= k)
         found = ranked if found is None else found.unionByName(ranked)
     return found
 

@@ -105,3 +105,28 @@ def test_lines_do_not_carry_all_lines_of_their_text(spark):
     made = rows.queryExecution.optimizedPlan().toString() if hasattr(rows, "queryExecution") else rows._jdf.queryExecution().optimizedPlan().toString()
     top = made[: made.index("Generate")]
     assert "all#" not in top
+
+
+def test_many_nearest_equal_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    from corvale.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_TILE", 3)
+    monkeypatch.setattr(vectors, "ROW_TILE", 17)
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(20)]
+    rows = [(n, base[n % 20] if n < 60 else [rng.gauss(0, 1) for _ in range(6)]) for n in range(100)]
+    rows += [(100, [1.0, 2e-6]), (101, [1.0, 1e-6]), (102, [1.0, 0.0]), (103, [0.0, 1.0]), (104, None)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = frame.where("id % 7 = 0 OR id = 102").selectExpr("id AS query_id", "embedding AS query")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = set()
+    for q, a in rows:
+        if a is not None and (q % 7 == 0 or q == 102):
+            near = sorted((round(1 - dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), 9), i) for i, b in rows if b is not None and len(b) == len(a))
+            want |= {(q, i, n + 1) for n, (_, i) in enumerate(near[:5])}
+    assert (102, 100, 1) in want  # equal to 9 places: the smaller id comes first
+    found = {(r["query_id"], r["id"], r["rank"]) for r in vectors.top_k_many(frame, asked, 5).collect()}
+    assert found == want
