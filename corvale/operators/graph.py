@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvale.functions.paths import in_module
 from corvale.functions.text import file_name, first_segment
+from corvale.session import pieces
 
 #: Kinds of symbols that name a type.
 TYPE_KINDS = ("class", "interface", "struct", "enum", "trait", "record", "type", "component")
@@ -28,12 +29,17 @@ def relation_id(*columns: Column) -> Column:
 
 def file_edges(relations: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """File-to-file edges of resolved relations and imports: number and sorted relation types; none to oneself."""
+    kept = file_pairs(relations, symbols, imports).repartition(pieces(relations), "source_path", "target_path")  # few pairs repeat within a task, so none are counted before
+    return kept.groupBy("source_path", "target_path").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("relation_type")).alias("relation_types"))
+
+
+def file_pairs(relations: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(source_path, target_path, relation_type): a row for each relation and import that makes a file edge."""
     resolved = relations.where("target_symbol_id IS NOT NULL").join(symbols.select(F.col("id").alias("target_symbol_id"), F.col("path").alias("target_path")), "target_symbol_id")
     pairs = resolved.select(F.col("path").alias("source_path"), "target_path", "relation_type")
     if imports is not None:
         pairs = pairs.unionByName(imports.where("target_path IS NOT NULL").select("source_path", "target_path", F.lit("IMPORTS").alias("relation_type")))
-    kept = pairs.where("source_path <> '' AND target_path <> '' AND source_path <> target_path")
-    return kept.groupBy("source_path", "target_path").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("relation_type")).alias("relation_types"))
+    return pairs.where("source_path <> '' AND target_path <> '' AND source_path <> target_path")
 
 
 def external_imports(imports: DataFrame, order: str = "line") -> DataFrame:
@@ -197,11 +203,16 @@ def file_context(sources: DataFrame, edges: DataFrame, external: DataFrame, limi
     """(seed, label, ref, relation_type, line, source_path): files and external references that the seeds' files import.
 
     sources: seed, path. With seed = symbol id it is the context of symbols, with seed = path that of files."""
+    rows = repeated_context(sources, edges, external).distinct()
+    return rows if limit is None else rows.orderBy("seed", "label", "ref", "line", "source_path").limit(limit)
+
+
+def repeated_context(sources: DataFrame, edges: DataFrame, external: DataFrame) -> DataFrame:
+    """The rows of file_context, with repeats where edges repeat or two paths of a seed import the same, for what makes them distinct later."""
     own = sources.select("seed", F.col("path").alias("source_path"))
     inner = own.join(edges.select("source_path", "target_path"), "source_path").select("seed", F.lit("File").alias("label"), F.col("target_path").alias("ref"), F.lit("IMPORTS_FILE").alias("relation_type"), F.lit(1).alias("line"), F.lit("").alias("source_path"))
     outer = own.join(external.select("source_path", "target_ref", "line"), "source_path").select("seed", F.lit("ExternalSymbol").alias("label"), F.col("target_ref").alias("ref"), F.lit("IMPORTS_EXTERNAL_FILE").alias("relation_type"), F.coalesce("line", F.lit(1)).alias("line"), "source_path")
-    rows = inner.unionByName(outer).distinct()
-    return rows if limit is None else rows.orderBy("seed", "label", "ref", "line", "source_path").limit(limit)
+    return inner.unionByName(outer)
 
 
 def has_data(files: DataFrame, repo: str) -> bool:

@@ -9,6 +9,7 @@ from corvale.operators import context
 from corvale.plans import sqltext as q
 from corvale.plans import tables as t
 from corvale.plans.registry import query
+from corvale.session import pieces
 
 _RANK = f"CASE WHEN regexp_extract({q.file_name('lower(trim(path))')}, '[^.].*?(\\.[^.]+)$', 1) IN ({q.quoted(paths.CODE_ENDINGS)}) THEN 0 WHEN contains(path, '/') THEN 1 WHEN path <> '' THEN 2 ELSE 3 END"
 _SECTIONS = "sections AS (SELECT conv_id, turn, 'PATH: ' || coalesce(role, 'unknown') || chr(10) || 'LINES: ' || turn || '-' || (turn + 3) || chr(10) || 'SCORE: ' || printf('%.4f', turn / 8) || chr(10) || text AS section FROM conversations WHERE text IS NOT NULL)"
@@ -117,9 +118,10 @@ UNION SELECT DISTINCT source_path, line, 0.7::DOUBLE, 'graph_external_dependency
 def _context_rows(spark, sf_dir):
     from corvale.operators import graph
 
-    edges = t.file_edges(spark, sf_dir)
-    seeds = edges.select(F.col("source_path").alias("path")).distinct().select(F.col("path").alias("seed"), "path")
-    return graph.file_context(seeds, edges, t.external(spark, sf_dir), None)
+    relations = t.relations(spark, sf_dir)
+    n, pairs = pieces(relations), graph.file_pairs(relations, t.graph_symbols(spark, sf_dir)).select("source_path", "target_path")
+    seeds = pairs.select(F.col("source_path").alias("path")).distinct().repartition(n, "path").select(F.col("path").alias("seed"), "path")  # else the join takes over the number of the seeds' shuffle
+    return graph.repeated_context(seeds, pairs.repartition(n, "source_path"), t.external(spark, sf_dir).repartition(n, "source_path"))
 
 
 @query("graph_citations", f"WITH {_GC} SELECT path, start_line, start_line AS end_line, score, reason FROM gc")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.session import deal_out, spread
+from corvale.session import deal_out, left_by, spread
 
 REPO = "corpus"
 
@@ -133,7 +133,7 @@ GRAPH_FILES = GRAPH_SYMBOLS + ", gfiles AS (SELECT DISTINCT repo_id, path, langu
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations as file imports: the target's file, or none for open ends."""
     place = graph_symbols(spark, sf_dir).select(F.col("id").alias("target_symbol_id"), F.col("path").alias("target_path"))
-    rows = relations(spark, sf_dir).join(place, "target_symbol_id", "left")
+    rows = left_by(relations(spark, sf_dir), place, ["target_symbol_id"], ["path", "target_ref", "line"])
     kind = F.when(F.col("target_path").isNotNull(), "file").otherwise("external")
     return rows.select("repo_id", F.col("path").alias("source_path"), "target_path", "target_ref", kind.alias("target_kind"), "path", "line", "language", "resolution_method")
 

@@ -5,8 +5,15 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of input for which a shuffle gets one more partition.
+PIECE = 4 << 20
+#: Partitions over which rows are dealt whose key is null.
+NULL_SALTS = 1024
 
 
 def local_session(cores: str | int = "*", app: str = "corvale") -> SparkSession:
@@ -60,3 +67,29 @@ def deal_out(df: DataFrame) -> DataFrame:
     """The same rows in even partitions, four for each core at least. A large file of few row groups has many partitions of which few
     hold rows, so their number says nothing of the balance."""
     return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
+def pieces(df: DataFrame) -> int:
+    """The number of partitions for a shuffle of df, so that none grows with the input: one for each PIECE that its tables hold,
+    and one for each core at least. Adaptive execution would merge partitions up to its advisory size, which counts compressed
+    bytes, and so millions of rows; a number that is asked for it leaves alone."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # rows made by the driver or an RDD have no size
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-known // PIECE))
+
+
+def left_by(rows: DataFrame, index: DataFrame, keys: list[str], by: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """rows left joined with index by keys. Rows with a null key match nothing and are dealt over NULL_SALTS numbers by the hash of
+    the columns by, or one task would get all of them. hot (the only key, parts): rows of such a key are dealt over that many
+    numbers, and the key's rows of index repeated for each; it has few rows, which are broadcast."""
+    mixed = F.xxhash64(*by)
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    here, there = rows, index.dropna(subset=keys)
+    parts = F.lit(1)
+    if hot is not None:
+        here, there = (x.join(F.broadcast(hot), keys, "left") for x in (here, there))
+        parts = F.coalesce("parts", F.lit(1))
+    here = here.withColumn("_salt", F.when(null, F.pmod(mixed, F.lit(NULL_SALTS))).otherwise(F.pmod(mixed, parts)).cast("int"))
+    there = there.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return here.drop("parts").join(there.drop("parts"), [*keys, "_salt"], "left").drop("_salt")

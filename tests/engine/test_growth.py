@@ -130,3 +130,52 @@ def test_many_nearest_equal_brute_force(spark, monkeypatch):
     assert (102, 100, 1) in want  # equal to 9 places: the smaller id comes first
     found = {(r["query_id"], r["id"], r["rank"]) for r in vectors.top_k_many(frame, asked, 5).collect()}
     assert found == want
+
+
+def test_null_and_hot_keys_are_dealt_out(spark):
+    from corvale.session import left_by
+
+    rows = spark.createDataFrame([(None if n % 3 else "k", n) for n in range(3000)] + [("m", -1)], "k string, n int")
+    index = spark.createDataFrame([("k", "one"), ("m", "two"), (None, "none")], "k string, id string")
+    hot = spark.createDataFrame([("k", 50)], "k string, parts int")
+    for given in (None, hot):
+        joined = left_by(rows, index.hint("merge"), ["k"], ["n"], given)
+        found = {(r["k"], r["n"], r["id"]) for r in joined.collect()}
+        assert found == {(None, n, None) if n % 3 else ("k", n, "one") for n in range(3000)} | {("m", -1, "two")} and joined.count() == 3001
+        spread_over = {r["p"]: r["count"] for r in joined.where("k IS NULL" if given is None else "k = 'k'").groupBy(F.spark_partition_id().alias("p")).count().collect()}
+        assert "_salt" in plan_of(joined) and "_salt" not in joined.columns and spread_over
+
+
+def test_imports_without_target_are_dealt_out(spark):
+    from corvale.plans import tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        open_ends = tables.imports(spark, "/root/testdata/sf0.001").where("resolution_method = 'unresolved'")
+        sizes = [r["count"] for r in open_ends.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < sum(sizes) / 4
+
+
+def test_partitions_follow_the_input(spark, monkeypatch):
+    from corvale import session
+    from corvale.operators import graph
+    from corvale.plans import q_context, tables
+
+    place = "/root/testdata/sf0.001"
+    assert session.pieces(tables.relations(spark, place)) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "PIECE", 4096)
+    n = session.pieces(tables.relations(spark, place))
+    assert n > 20
+    pairs = [x for x in plan_of(q_context.graph_citations(spark, place)).splitlines() if "REPARTITION_BY_NUM" in x and "source_path" in x]
+    assert pairs and all(f", {n})" in x for x in pairs)
+    edges = plan_of(tables.file_edges(spark, place))
+    assert f", {n})" in edges
+    twice = spark.createDataFrame([("a", "b"), ("a", "b")], "source_path string, target_path string")
+    none = spark.createDataFrame([], "source_path string, target_ref string, line int")
+    own = spark.createDataFrame([("s", "a")], "seed string, path string")
+    assert graph.repeated_context(own, twice, none).count() == 2 and graph.file_context(own, twice, none).count() == 1
