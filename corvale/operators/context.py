@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvale.functions.paths import citation_rank, is_noisy_citation
 from corvale.functions.text import file_name, posix
+from corvale.session import cut
 
 SEPARATOR = "\n\n---\n\n"
 MAX_GRAPH_RECORDS = 50
@@ -63,9 +64,9 @@ def sections_of(chunks: DataFrame, records: DataFrame | None = None) -> DataFram
     return rows.unionByName(header).unionByName(some)
 
 
-def first_by(rows: DataFrame, keys: list[Column], order: str = "pos") -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("nth = 1").drop("nth")
+def first_by(rows: DataFrame, keys: list[Column], *order: Column | str) -> DataFrame:
+    """The first row of each key, by pos if no other order is given."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or ("pos",))))).where("nth = 1").drop("nth")
 
 
 def dedup_by_span(citations: DataFrame) -> DataFrame:
@@ -85,15 +86,20 @@ def _plain(path: Column) -> Column:
     return F.lower(posix(F.trim(path)))
 
 
-def high_signal(citations: DataFrame, preferred: DataFrame, max_total: int = 1) -> DataFrame:
-    """The first citation of each preferred path (path, pos), in that order; without any, the first citations. Spans count once."""
-    unique = first_by(citations, [_plain(F.col("path")), F.col("start_line"), F.col("end_line")])
+def high_signal(citations: DataFrame, preferred: DataFrame, max_total: int = 1, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """The first citation of each preferred path (path, pos), in that order; without any, the first citations. Spans count once.
+
+    order: the columns of citations that put them in order, names with a leading minus downwards. The second way is open only
+    once none is found by the first, so its ordering of all citations gets no rows before."""
+    by = [F.desc(o[1:]) if o.startswith("-") else F.col(o) for o in order]
+    most = max(0, max_total)
     wanted = first_by(preferred.where(F.trim("path") != ""), [_plain(F.col("path"))]).select(_plain(F.col("path")).alias("key"), F.col("pos").alias("want"))
-    leading = first_by(unique.withColumn("key", _plain(F.col("path"))), [F.col("key")])
-    joined = leading.join(wanted, "key").select(*citations.columns, F.lit(0).alias("tier"), F.col("want").alias("place"))
-    rest = unique.select(*citations.columns, F.lit(1).alias("tier"), F.col("pos").alias("place"))
-    both = joined.unionByName(rest).withColumn("best", F.min("tier").over(Window.partitionBy(F.lit(0))))
-    return both.where("tier = best").orderBy("place", "pos").limit(max(0, max_total)).drop("tier", "best", "place")
+    leading = first_by(citations.withColumn("key", _plain(F.col("path"))).join(wanted, "key"), [F.col("key")], *by)
+    top = leading.orderBy("want", *by).limit(most).select(*citations.columns, F.col("want").alias("place"))
+    none = leading.agg((F.count(F.lit(1)) == 0).alias("none"))
+    rest = first_by(citations.crossJoin(F.broadcast(none)).where("none"), [_plain(F.col("path")), F.col("start_line"), F.col("end_line")], *by)
+    others = rest.orderBy(*by).limit(most).select(*citations.columns, F.lit(None).cast(top.schema["place"].dataType).alias("place"))
+    return top.unionByName(others).orderBy("place", *by).limit(most).drop("place")
 
 
 def inventory_citations(items: DataFrame) -> DataFrame:
@@ -111,15 +117,19 @@ def graph_citations(context: DataFrame) -> DataFrame:
 
 def enriched(chunks: DataFrame, context: DataFrame, max_total: int = 1) -> DataFrame:
     """The returned citations: of chunk and graph citations those not noisy (all, if none is left), the strongest on the
-    ranked paths, then the graph's that are missing. chunks: pos, path, start_line, end_line, score."""
-    own = chunks.select("path", "start_line", "end_line", "score", F.lit("hybrid_rag_match").alias("reason"), F.col("pos").cast("long").alias("pos"))
-    graph = graph_citations(context).withColumn("pos", F.row_number().over(Window.orderBy("path", "start_line", "reason")).cast("long") + (1 << 40))
-    raw = own.unionByName(graph).withColumn("noisy", is_noisy_citation(F.col("path")))
-    kept = raw.withColumn("all_noisy", F.min("noisy").over(Window.partitionBy(F.lit(0)))).where("NOT noisy OR all_noisy").drop("noisy", "all_noisy")
-    ordered = kept.withColumn("pos", F.row_number().over(Window.orderBy(citation_rank(F.col("path")), F.desc("score"), "pos")).cast("long"))
-    chosen = high_signal(ordered, chunks.select("path", "pos"), max_total)
-    missing = graph.join(chosen.select("path", "start_line", "end_line"), ["path", "start_line", "end_line"], "left_anti").withColumn("pos", F.col("pos"))
-    return chosen.unionByName(missing.select(*chosen.columns))
+    ranked paths, then the graph's that are missing. chunks: pos, path, start_line, end_line, score.
+
+    Strength is the rank of the path, then the score, then pos for chunks, which precede the graph's, and path, line and
+    reason for those. No row is numbered over all others, so no task gets them all."""
+    columns = ["path", "start_line", "end_line", "score", "reason"]
+    own = chunks.select("path", "start_line", "end_line", "score", F.lit("hybrid_rag_match").alias("reason"), F.lit(0).alias("from"), F.col("pos").cast("long").alias("pos"))
+    graph = cut(graph_citations(context))
+    raw = own.unionByName(graph.select(*columns, F.lit(1).alias("from"), F.lit(0).cast("long").alias("pos"))).withColumn("noisy", is_noisy_citation(F.col("path")))
+    kept = raw.crossJoin(F.broadcast(raw.agg(F.min("noisy").alias("all_noisy")))).where("NOT noisy OR all_noisy").drop("noisy", "all_noisy")
+    ranked = kept.withColumn("rank", citation_rank(F.col("path")))
+    chosen = high_signal(ranked, chunks.select("path", "pos"), max_total, ("rank", "-score", "from", "pos", "path", "start_line", "reason")).select(*columns)
+    missing = graph.join(F.broadcast(chosen.select("path", "start_line", "end_line")), ["path", "start_line", "end_line"], "left_anti")
+    return chosen.unionByName(missing.select(*columns))
 
 
 def is_sufficient(context: Column, reranked: Column) -> Column:

@@ -179,3 +179,36 @@ def test_partitions_follow_the_input(spark, monkeypatch):
     none = spark.createDataFrame([], "source_path string, target_ref string, line int")
     own = spark.createDataFrame([("s", "a")], "seed string, path string")
     assert graph.repeated_context(own, twice, none).count() == 2 and graph.file_context(own, twice, none).count() == 1
+
+
+def test_enriched_citations_equal_brute_force_without_one_task(spark):
+    import random
+
+    from corvale.functions.paths import citation_rank, is_noisy_citation
+    from corvale.operators import context
+
+    rng = random.Random(3)
+    paths = ["docs/a.md", "document/b.md", "src/A.py", "src/a.py", "lib/c.ts", "README", "..", "x/y.txt"]
+    for n in (0, 1, 3, 5):
+        names = paths if n % 3 else ["document/b.md", "..", "docs"]
+        chunks = [(i, rng.choice(names), rng.randint(1, 2), rng.randint(3, 4), rng.choice([0.1, 0.5, 0.9])) for i in range(n % 5 and 6)]
+        outer = [("IMPORTS_EXTERNAL_FILE", "ref", rng.choice(names), rng.randint(1, 2)) for _ in range(3)]
+        inner = [("IMPORTS_FILE", rng.choice(names), "", 1) for _ in range(3)]
+        frame = spark.createDataFrame(chunks, "pos long, path string, start_line int, end_line int, score double")
+        facts = spark.createDataFrame(inner + outer, "relation_type string, ref string, source_path string, line int")
+        graph = sorted({(r, 1, 1, 0.75, "graph_file_dependency_match") for _, r, _, _ in inner} | {(s, x, x, 0.7, "graph_external_dependency_source") for _, _, s, x in outer}, key=lambda r: (r[0], r[1], r[4]))
+        raw = [(*c[1:], "hybrid_rag_match") for c in chunks] + graph
+        facts_of = {r["path"]: (r["noisy"], r["rank"]) for r in spark.createDataFrame([(p,) for p in {r[0] for r in raw}], "path string").select("path", is_noisy_citation(F.col("path")).alias("noisy"), citation_rank(F.col("path")).alias("rank")).collect()}
+        kept = [r for r in raw if not facts_of[r[0]][0]] or raw
+        ordered = sorted(kept, key=lambda r: (facts_of[r[0]][1], -r[3]))  # stable: the order of raw decides ties
+        first, spans = {}, {}
+        for r in ordered:
+            first.setdefault(r[0].lower(), r)
+            spans.setdefault((r[0].lower(), r[1], r[2]), r)
+        wanted = dict.fromkeys(c[1].lower() for c in chunks)
+        chosen = ([first[k] for k in wanted if k in first] or list(spans.values()))[:2]
+        want = chosen + [g for g in graph if g[:3] not in {c[:3] for c in chosen}]
+        rows = context.enriched(frame, facts, 2).select("path", "start_line", "end_line", "score", "reason")
+        assert sorted(map(tuple, rows.collect())) == sorted(want), n
+    lines = plan_of(rows).splitlines()
+    assert not any("Window" in x and ("windowspecdefinition(path" in x or "windowspecdefinition(0" in x or "windowspecdefinition(rank" in x) for x in lines)
