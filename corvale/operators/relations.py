@@ -8,6 +8,7 @@ file defines a name twice the later symbol stands."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +16,20 @@ from pyspark.sql import functions as F
 
 from corvale.operators import parsers
 from corvale.operators.extraction import enclosing
-from corvale.session import cut, spread
+from corvale.session import cut, left_by, spread
 
 TYPES = ("class", "interface", "enum", "record")
 REFERENCE = "repo_id string, path string, language string, owner string, owner_line int, relation_type string, target_ref string, bound_ref string, line int, confidence double"
 JS = ("javascript", "js")
 TS = ("typescript", "ts")
 GLOBAL_CAP = 0.55
+#: Rows of one name that one task may get, and how many names are asked for that may have more.
+HOT_ROWS = 20_000
+HOT_KEYS = 500
+#: Rows of references for which a look-up gets one more partition.
+PIECE_ROWS = 100_000
+#: What tells references of one name apart.
+BY = ["path", "line", "target_ref"]
 
 
 def raw_references(files: DataFrame) -> DataFrame:
@@ -63,11 +71,27 @@ def _found(hit: str, method: str) -> Column:
     return F.when(F.col(hit).isNotNull(), F.struct(F.col(hit).alias("target_symbol_id"), F.lit(method).alias("resolution_method")))
 
 
-def _look_up(refs: DataFrame, index: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
+class Load(NamedTuple):
+    """The partitions in which references are looked up, which follow their number, and what values of a column are hot."""
+
+    pieces: int
+    hot: dict[str, DataFrame]
+
+
+def _load(refs: DataFrame, *columns: str) -> Load:
+    """hot: for each column (the column, parts) of the values that may be in over HOT_ROWS rows of refs, which should be written: all
+    files may name one base class. A sketch of bounded size finds them in one pass; a value that it misses costs balance only."""
+    sketch = refs.agg(F.count(F.lit(1)).alias("rows of refs"), *[F.expr(f"approx_top_k({c}, {HOT_KEYS}, {10 * HOT_KEYS})").alias(c) for c in columns]).first()
+    found = {c: [(x["item"], -(-x["count"] // HOT_ROWS)) for x in sketch[c] or [] if x["item"] is not None and x["count"] > HOT_ROWS] for c in columns}
+    spark = refs.sparkSession
+    hot = {c: spark.createDataFrame(rows, f"{c} string, parts int") for c, rows in found.items() if rows}
+    return Load(max(spark.sparkContext.defaultParallelism, -(-sketch["rows of refs"] // PIECE_ROWS)), hot)
+
+
+def _look_up(refs: DataFrame, index: DataFrame, keys: dict[str, str], name: str, load: Load) -> DataFrame:
     """refs with a column of the index's id; keys: column of refs by column of the index."""
-    renamed = index.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias(name))
-    on = [refs[v] == renamed[f"_{k}"] for k, v in keys.items()]
-    return refs.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
+    renamed = index.select(*[F.col(k).alias(v) for k, v in keys.items()], F.col("id").alias(name))
+    return left_by(refs, renamed, list(keys.values()), BY, load.hot.get(*keys.values()) if len(keys) == 1 else None, load.pieces)
 
 
 def _settle(refs: DataFrame, order: list[tuple[str, str]]) -> DataFrame:
@@ -90,11 +114,12 @@ def resolve_python(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """local → alias → qualified → global_unique → unresolved."""
     own = symbols.where("language = 'python'")
     rows = refs.withColumns({"simple": _simple(), "whole": F.when(~F.col("target_ref").contains("."), F.col("target_ref"))})
-    rows = _look_up(rows, local_index(own), {"path": "path", "name": "whole"}, "h_local")
+    load = _load(rows, "bound_ref", "target_ref", "simple")
+    rows = _look_up(rows, local_index(own), {"path": "path", "name": "whole"}, "h_local", load)
     index = python_index(own)
-    rows = _look_up(rows, index, {"name": "bound_ref"}, "h_alias")
-    rows = _look_up(rows, index, {"name": "target_ref"}, "h_qualified")
-    rows = _look_up(rows, global_index(own), {"name": "simple"}, "h_global")
+    rows = _look_up(rows, index, {"name": "bound_ref"}, "h_alias", load)
+    rows = _look_up(rows, index, {"name": "target_ref"}, "h_qualified", load)
+    rows = _look_up(rows, global_index(own), {"name": "simple"}, "h_global", load)
     return _settle(rows, [("h_local", "local"), ("h_alias", "alias"), ("h_qualified", "qualified"), ("h_global", "global_unique")]).drop("simple", "whole")
 
 
@@ -104,19 +129,19 @@ def _named_types(symbols: DataFrame, packages: DataFrame, kinds: tuple[str, ...]
     return rows.groupBy(F.concat_ws(".", "package", "symbol_name").alias("name")).agg(F.max_by("id", F.struct("path", "start_line")).alias("id"))
 
 
-def _through(rows: DataFrame, bindings: DataFrame, kind: str, index: DataFrame, name: str) -> DataFrame:
+def _through(rows: DataFrame, bindings: DataFrame, kind: str, index: DataFrame, name: str, load: Load) -> DataFrame:
     """What single-name bindings of a kind make of a reference; the last binding of a name stands."""
     last = bindings.where(F.col("kind") == kind).groupBy("path", "name").agg(F.max_by("full_name", "nth").alias("full"))
     ids = last.join(index.withColumnRenamed("name", "full"), "full").select("path", "name", "id")
-    return _look_up(rows, ids, {"path": "path", "name": "simple"}, name)
+    return _look_up(rows, ids, {"path": "path", "name": "simple"}, name, load)
 
 
-def _wildcards(rows: DataFrame, bindings: DataFrame, index: DataFrame, name: str) -> DataFrame:
+def _wildcards(rows: DataFrame, bindings: DataFrame, index: DataFrame, name: str, load: Load) -> DataFrame:
     """The first wildcard package of the file that has the reference's name."""
     wild = bindings.where("kind = 'wildcard'").select("path", "full_name", "nth")
     full = rows.select("path", "simple").distinct().join(wild, "path").withColumn("full", F.concat_ws(".", "full_name", "simple"))
     ids = full.join(index.withColumnRenamed("name", "full"), "full").groupBy("path", "simple").agg(F.min_by("id", "nth").alias("id")).withColumnRenamed("simple", "name")
-    return _look_up(rows, ids, {"path": "path", "name": "simple"}, name)
+    return _look_up(rows, ids, {"path": "path", "name": "simple"}, name, load)
 
 
 def resolve_java(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -125,15 +150,16 @@ def resolve_java(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataF
     packages, bindings = _bindings(files.where("language = 'java'"))
     index = _named_types(own, packages, TYPES)
     rows = refs.withColumns({"simple": _simple(), "dotted": F.when(F.col("target_ref").contains("."), F.col("target_ref"))}).join(packages, "path", "left").withColumn("sibling", F.concat(F.col("package"), F.lit("."), F.col("simple")))
-    rows = _look_up(rows, index, {"name": "dotted"}, "h_fqcn")
-    rows = _look_up(rows, local_index(own), {"path": "path", "name": "simple"}, "h_local")
-    rows = _through(rows, bindings, "single", index, "h_import")
-    rows = _through(rows, bindings, "static", index, "h_static")
+    load = _load(rows, "dotted", "simple", "sibling")
+    rows = _look_up(rows, index, {"name": "dotted"}, "h_fqcn", load)
+    rows = _look_up(rows, local_index(own), {"path": "path", "name": "simple"}, "h_local", load)
+    rows = _through(rows, bindings, "single", index, "h_import", load)
+    rows = _through(rows, bindings, "static", index, "h_static", load)
     owners = bindings.where("kind = 'static_wildcard'").join(index.withColumnRenamed("name", "full_name"), "full_name").groupBy("path").agg(F.min_by("id", "nth").alias("id"))
-    rows = _look_up(rows, owners, {"path": "path"}, "h_static_wildcard")
-    rows = _wildcards(rows, bindings, index, "h_wildcard")
-    rows = _look_up(rows, index, {"name": "sibling"}, "h_package")
-    rows = _look_up(rows, global_index(own.where(F.col("symbol_type").isin(*TYPES))), {"name": "simple"}, "h_global")
+    rows = _look_up(rows, owners, {"path": "path"}, "h_static_wildcard", load)
+    rows = _wildcards(rows, bindings, index, "h_wildcard", load)
+    rows = _look_up(rows, index, {"name": "sibling"}, "h_package", load)
+    rows = _look_up(rows, global_index(own.where(F.col("symbol_type").isin(*TYPES))), {"name": "simple"}, "h_global", load)
     order = [("h_fqcn", "fqcn"), ("h_local", "local"), ("h_import", "import"), ("h_static", "static_import_member"), ("h_static_wildcard", "static_import_wildcard"), ("h_wildcard", "import_wildcard"), ("h_package", "same_package"), ("h_global", "global_unique")]
     return _settle(rows, order).drop("simple", "dotted", "package", "sibling")
 
@@ -144,12 +170,13 @@ def resolve_kotlin(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     packages, bindings = _bindings(files.where("language = 'kotlin'"))
     index = _named_types(own, packages, ("class", "interface", "enum", "function"))
     rows = refs.withColumns({"simple": _simple(), "dotted": F.when(F.col("target_ref").contains("."), F.col("target_ref"))}).join(packages, "path", "left").withColumn("sibling", F.concat(F.col("package"), F.lit("."), F.col("simple")))
-    rows = _look_up(rows, index, {"name": "dotted"}, "h_direct")
-    rows = _look_up(rows, local_index(own), {"path": "path", "name": "simple"}, "h_local")
-    rows = _through(rows, bindings, "single", index, "h_import")
-    rows = _look_up(rows, index, {"name": "sibling"}, "h_package")
-    rows = _wildcards(rows, bindings, index, "h_wildcard")
-    rows = _look_up(rows, global_index(own), {"name": "simple"}, "h_global")
+    load = _load(rows, "dotted", "simple", "sibling")
+    rows = _look_up(rows, index, {"name": "dotted"}, "h_direct", load)
+    rows = _look_up(rows, local_index(own), {"path": "path", "name": "simple"}, "h_local", load)
+    rows = _through(rows, bindings, "single", index, "h_import", load)
+    rows = _look_up(rows, index, {"name": "sibling"}, "h_package", load)
+    rows = _wildcards(rows, bindings, index, "h_wildcard", load)
+    rows = _look_up(rows, global_index(own), {"name": "simple"}, "h_global", load)
     order = [("h_direct", "import"), ("h_local", "local"), ("h_import", "import"), ("h_package", "same_package"), ("h_wildcard", "import_wildcard"), ("h_global", "global_unique")]
     return _settle(rows, order).drop("simple", "dotted", "package", "sibling")
 
@@ -158,12 +185,13 @@ def resolve_swift(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Data
     """local → a single candidate below an imported module's folder → global unique. Receiver types are not followed."""
     own = symbols.where("language = 'swift'")
     rows = refs.withColumn("simple", _simple())
-    rows = _look_up(rows, local_index(own), {"path": "path", "name": "simple"}, "h_local")
+    load = _load(rows, "simple")
+    rows = _look_up(rows, local_index(own), {"path": "path", "name": "simple"}, "h_local", load)
     modules = refs.where("relation_type = 'FILE_IMPORT'").select("path", F.element_at(F.split("target_ref", r"\."), 1).alias("module")).distinct()
     places = own.select(F.col("symbol_name").alias("name"), "id", F.explode(F.array_distinct(F.split("path", "/"))).alias("module"))
     hinted = rows.select("path", "simple").distinct().join(modules, "path").join(places, ["module"]).where("name = simple").groupBy("path", "name").agg(F.count_distinct("id").alias("n"), F.first("id").alias("id")).where("n = 1")
-    rows = _look_up(rows, hinted, {"path": "path", "name": "simple"}, "h_module")
-    rows = _look_up(rows, global_index(own), {"name": "simple"}, "h_global")
+    rows = _look_up(rows, hinted, {"path": "path", "name": "simple"}, "h_module", load)
+    rows = _look_up(rows, global_index(own), {"name": "simple"}, "h_global", load)
     return _settle(rows, [("h_local", "local"), ("h_module", "owner_import_module_path"), ("h_global", "global_unique")]).drop("simple")
 
 
@@ -267,11 +295,12 @@ def resolve_js(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases: l
     spaces = bound.where("exported = '*'").select("path", "local", "from_path", "nth").join(there, "from_path").groupBy("path", F.concat_ws(".", "local", "exported").alias("name")).agg(F.max_by("id", "nth").alias("id"))
     rows = refs.join(places.withColumnRenamed("module", "target_ref"), ["path", "target_ref"], "left")
     rows = rows.withColumn("target_ref", F.when(is_import & (F.col("relation_type") == "IMPORTS"), F.coalesce("resolved", "target_ref")).otherwise(F.col("target_ref")))
-    rows = _look_up(rows, spaces, {"path": "path", "name": "target_ref"}, "h_space")
-    rows = _look_up(rows, single, {"path": "path", "name": "target_ref"}, "h_bound")
+    load = _load(refs, "target_ref")
+    rows = _look_up(rows, spaces, {"path": "path", "name": "target_ref"}, "h_space", load)
+    rows = _look_up(rows, single, {"path": "path", "name": "target_ref"}, "h_bound", load)
     firsts = symbols.groupBy("path", F.col("symbol_name").alias("name")).agg(F.min_by("id", F.struct("start_line", "id")).alias("id"))
-    rows = _look_up(rows, firsts, {"path": "path", "name": "target_ref"}, "h_local")
-    rows = _look_up(rows, global_index(symbols), {"name": "target_ref"}, "h_global")
+    rows = _look_up(rows, firsts, {"path": "path", "name": "target_ref"}, "h_local", load)
+    rows = _look_up(rows, global_index(symbols), {"name": "target_ref"}, "h_global", load)
     done = _settle(rows, [("h_space", "namespace_import"), ("h_bound", "import_binding"), ("h_local", "local"), ("h_global", "global_unique")])
     return done.withColumn("confidence", F.when(F.col("resolution_method") == "global_unique", F.least("confidence", F.lit(GLOBAL_CAP))).otherwise(F.col("confidence")))
 
@@ -325,11 +354,16 @@ def relations(files: DataFrame, symbols: DataFrame, use_tsconfig: bool = False)
 def file_imports(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases: list[tuple[str, str]], base: str | None, present: set[str]) -> DataFrame:
     """File-to-file imports: by the resolved symbol's file; for Python also by module, for JavaScript and TypeScript by path."""
     of_symbol = symbols.select(F.col("id").alias("target_symbol_id"), F.col("path").alias("symbol_path"))
-    rows = refs.join(of_symbol, "target_symbol_id", "left").drop("target_symbol_id")
+    load = _load(refs, "target_symbol_id")
+    rows = left_by(refs, of_symbol, ["target_symbol_id"], BY, load.hot.get("target_symbol_id"), load.pieces).drop("target_symbol_id")
     module = F.replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
     modules = files.where("language = 'python'").groupBy(module.alias("module")).agg(F.count(F.lit(1)).alias("n"), F.first("path").alias("module_path")).where("n = 1").drop("n")
-    py = rows.where("language = 'python'").withColumn("symbol_path", F.when(F.col("resolution_method") == "qualified", F.col("symbol_path"))).withColumn("parent", F.regexp_replace("target_ref", r"\.?[^.]*$", ""))
-    py = py.join(modules.withColumnRenamed("module", "target_ref"), "target_ref", "left").join(modules.select(F.col("module").alias("parent"), F.col("module_path").alias("parent_path")), "parent", "left")
+    py = rows.where("language = 'python'").withColumn("symbol_path", F.when(F.col("resolution_method") == "qualified", F.col("symbol_path")))
+    parent = F.regexp_replace("target_ref", r"\.?[^.]*$", "")
+    py = py.withColumn("parent", parent)
+    load = _load(refs.where("language = 'python'").select("target_ref", parent.alias("parent")), "target_ref", "parent")
+    py = left_by(py, modules.withColumnRenamed("module", "target_ref"), ["target_ref"], BY, load.hot.get("target_ref"), load.pieces)
+    py = left_by(py, modules.select(F.col("module").alias("parent"), F.col("module_path").alias("parent_path")), ["parent"], BY, load.hot.get("parent"), load.pieces)
     py = py.withColumn("target_path", F.coalesce("symbol_path", "module_path", "parent_path")).withColumn("resolution_method", F.when(F.col("symbol_path").isNotNull(), "qualified").when(F.col("target_path").isNotNull(), "module").otherwise("unresolved")).drop("parent", "module_path", "parent_path")
     every = py
     for names in [n for n in (JS, TS) if present & set(n)]:

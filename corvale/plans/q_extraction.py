@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvale.operators import extraction, parsers, relations
 from corvale.plans import tables as t
 from corvale.plans.registry import query
+from corvale.session import left_by
 
 _LINES = """ln AS (SELECT path, l, row_number() OVER (PARTITION BY path ORDER BY i) AS n, count(*) OVER (PARTITION BY path) AS total FROM (SELECT path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1) AS i FROM marked WHERE content <> ''))"""
 #: Documents as Markdown: a line of up to 60 characters becomes a heading, and texts get keys and definitions of their words.
@@ -131,7 +132,7 @@ def python_relations(spark, sf_dir):
     symbols = _with_ids(files)
     edges, _ = relations.relations(files, symbols)
     places = symbols.select(F.col("id").alias("target_symbol_id"), F.col("path").alias("target_path"))
-    return edges.join(places, "target_symbol_id", "left").select("path", "relation_type", "target_ref", "target_path", "resolution_method")
+    return left_by(edges, places, ["target_symbol_id"], ["path", "line", "target_ref"]).select("path", "relation_type", "target_ref", "target_path", "resolution_method")
 
 
 @query("python_file_imports", f"WITH p AS ({_KEYS}) SELECT p.path AS source_path, o.path AS target_path, 'pkg.m_' || (p.k + 1) || '.run_' || (p.k + 1) AS target_ref, CASE WHEN o.k IS NOT NULL THEN 'qualified' ELSE 'unresolved' END AS resolution_method FROM p LEFT JOIN p o ON o.k = p.k + 1 UNION ALL SELECT path, NULL, 'os', 'unresolved' FROM p")

@@ -79,10 +79,10 @@ def pieces(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-known // PIECE))
 
 
-def left_by(rows: DataFrame, index: DataFrame, keys: list[str], by: list[str], hot: DataFrame | None = None) -> DataFrame:
+def left_by(rows: DataFrame, index: DataFrame, keys: list[str], by: list[str], hot: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """rows left joined with index by keys. Rows with a null key match nothing and are dealt over NULL_SALTS numbers by the hash of
     the columns by, or one task would get all of them. hot (the only key, parts): rows of such a key are dealt over that many
-    numbers, and the key's rows of index repeated for each; it has few rows, which are broadcast."""
+    numbers, and the key's rows of index repeated for each; it has few rows, which are broadcast. n: the partitions to join in."""
     mixed = F.xxhash64(*by)
     null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     here, there = rows, index.dropna(subset=keys)
@@ -92,4 +92,6 @@ def left_by(rows: DataFrame, index: DataFrame, keys: list[str], by: list[str], h
         parts = F.coalesce("parts", F.lit(1))
     here = here.withColumn("_salt", F.when(null, F.pmod(mixed, F.lit(NULL_SALTS))).otherwise(F.pmod(mixed, parts)).cast("int"))
     there = there.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    if n is not None:
+        here, there = here.repartition(n, *keys, "_salt"), there.repartition(n, *keys, "_salt")
     return here.drop("parts").join(there.drop("parts"), [*keys, "_salt"], "left").drop("_salt")

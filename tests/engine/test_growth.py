@@ -212,3 +212,23 @@ def test_enriched_citations_equal_brute_force_without_one_task(spark):
         assert sorted(map(tuple, rows.collect())) == sorted(want), n
     lines = plan_of(rows).splitlines()
     assert not any("Window" in x and ("windowspecdefinition(path" in x or "windowspecdefinition(0" in x or "windowspecdefinition(rank" in x) for x in lines)
+
+
+def test_names_that_all_files_use_are_dealt_out(spark, monkeypatch):
+    from corvale.operators import relations
+
+    monkeypatch.setattr(relations, "HOT_ROWS", 20)
+    refs = spark.createDataFrame([(f"p{n}.py", "Base", None, n) for n in range(800)] + [("q.py", "own", "b.Base", 1)], "path string, target_ref string, bound_ref string, line int")
+    monkeypatch.setattr(relations, "PIECE_ROWS", 50)
+    load = relations._load(refs, "target_ref", "bound_ref")
+    assert load.pieces == 17 and [tuple(r) for r in load.hot["target_ref"].collect()] == [("Base", 40)] and "bound_ref" not in load.hot
+    index = spark.createDataFrame([("Base", "one"), ("b.Base", "two")], "name string, id string").hint("merge")
+    found = relations._look_up(refs, index, {"name": "target_ref"}, "h", load)
+    assert {(r["target_ref"], r["h"]) for r in found.collect()} == {("Base", "one"), ("own", None)} and found.count() == 801
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, rows in (("target_ref", found), ("bound_ref", relations._look_up(refs, index, {"name": "bound_ref"}, "h", load))):
+            sizes = [r["count"] for r in rows.where("target_ref = 'Base'").groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 800 and max(sizes) < 400, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
