@@ -138,8 +138,9 @@ u AS (SELECT i, a, b, k, c FROM e UNION ALL SELECT i, b, a, k, c FROM e WHERE a
 
 
 def _edges(spark, sf_dir):
-    """Written once: an expansion reads its edges many times."""
-    return cut(graph.semantic_edges(t.relations(spark, sf_dir))[0].where("relation_type IN ('CALLS', 'EXTENDS')"))
+    """Written once: an expansion reads its edges many times. Ids go as the 20 bytes that their 40 digits stand for."""
+    inner = graph.semantic_edges(t.relations(spark, sf_dir))[0].where("relation_type IN ('CALLS', 'EXTENDS')")
+    return cut(inner.withColumn("edge_id", F.unhex("edge_id")))
 
 
 #: Seeds of the expansion: each symbol whose number is divisible by 50, hubs included.

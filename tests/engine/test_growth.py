@@ -232,3 +232,23 @@ def test_names_that_all_files_use_are_dealt_out(spark, monkeypatch):
             assert sum(sizes) == 800 and max(sizes) < 400, name
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_workers_hold_a_few_parsed_files(spark):
+    import pandas as pd
+
+    from corvale import session
+    from corvale.operators import relations
+
+    batch = pd.DataFrame({"n": range(2 * session.SLICE + 1)})
+    parts = list(session.slices(iter([batch, batch.iloc[:0], batch])))
+    assert [len(p) for p in parts] == [session.SLICE, session.SLICE, 1] * 2 and list(pd.concat(parts)["n"]) == list(batch["n"]) * 2
+    files = spark.range(1, 1001).select(F.lit("r").alias("repo_id"), F.concat(F.lit("p"), "id").alias("path"), F.lit("python").alias("language"), F.lit("import os\nimport re\n").alias("content"))
+    assert relations.raw_references(files).count() == 2000
+
+
+def test_expansion_moves_short_ids(spark):
+    from corvale.plans import q_graph
+
+    rows = q_graph._edges(spark, "/root/testdata/sf0.001").agg(F.min(F.length("edge_id")).alias("least"), F.max(F.length("edge_id")).alias("most")).first()
+    assert tuple(rows) == (20, 20)
