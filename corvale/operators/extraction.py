@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvale.functions.text import first_segment, line_slice
 from corvale.operators import parsers
-from corvale.session import spread
+from corvale.session import slices, spread
 
 SYMBOL = "repo_id string, path string, language string, symbol_name string, symbol_type string, start_line int, end_line int"
 SECTION_LINES = 20
@@ -42,7 +42,7 @@ def with_snippets(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 def _parsed(files: DataFrame, json: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 (r.repo_id, r.path, r.language, *s)
                 for r in batch.itertuples()
@@ -274,7 +274,7 @@ def purposes(files: DataFrame) -> DataFrame:
     """(path, purpose_summary, purpose_source): module docstring, front-end convention, first definition or file name; null if none says anything."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in batch.itertuples():
                 content, text, source = r.content or "", None, None
@@ -312,7 +312,7 @@ def named_spans(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(path, name, start_line, end_line): where each wanted (path, name) is defined in its file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r.path, r.name, *span) for r in batch.itertuples(index=False) for span in parsers.named_spans(r.content or "", r.name, r.path)]
             yield pd.DataFrame(rows, columns=["path", "name", "start_line", "end_line"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corvale.operators import parsers
 from corvale.operators.extraction import enclosing
-from corvale.session import cut, left_by, spread
+from corvale.session import cut, left_by, slices, spread
 
 TYPES = ("class", "interface", "enum", "record")
 REFERENCE = "repo_id string, path string, language string, owner string, owner_line int, relation_type string, target_ref string, bound_ref string, line int, confidence double"
@@ -34,7 +34,7 @@ BY = ["path", "line", "target_ref"]
 
 def raw_references(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r.repo_id, r.path, r.language, *x) for r in batch.itertuples() for x in parsers.references(r.content or "", r.path, r.language)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCE.split(", ")])
 
@@ -45,7 +45,7 @@ def _bindings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, package) and (path, kind, name, full_name) of Java and Kotlin files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for r in batch.itertuples():
                 package = parsers.package_of(r.content or "", r.language)
@@ -258,7 +258,7 @@ def js_exports(files: DataFrame, symbols: DataFrame, aliases: list[tuple[str, st
     """(path, name, id): what each file exports: own names, lists, defaults, and one round of named and star re-exports."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r.path, *x) for r in batch.itertuples() for x in parsers.js_exports(r.content or "")]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "source", "line"])
 
@@ -281,7 +281,7 @@ def resolve_js(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases: l
     """namespace import → import binding → local → global unique, whose confidence is capped. Imports name the file they mean."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r.path, *x, i) for r in batch.itertuples() for i, x in enumerate(parsers.js_bindings(r.content or ""))]
             yield pd.DataFrame(rows, columns=["path", "local", "exported", "module", "nth"])
 

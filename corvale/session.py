@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 PIECE = 4 << 20
 #: Partitions over which rows are dealt whose key is null.
 NULL_SALTS = 1024
+#: Rows that a Python worker holds parsed at once.
+SLICE = 200
 
 
 def local_session(cores: str | int = "*", app: str = "corvale") -> SparkSession:
@@ -95,3 +99,11 @@ def left_by(rows: DataFrame, index: DataFrame, keys: list[str], by: list[str], h
     if n is not None:
         here, there = here.repartition(n, *keys, "_salt"), there.repartition(n, *keys, "_salt")
     return here.drop("parts").join(there.drop("parts"), [*keys, "_salt"], "left").drop("_salt")
+
+
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches, a few at a time: what a worker makes of them goes to the JVM before the next are parsed. A batch has
+    up to 10,000 rows, and a file gives many."""
+    for batch in batches:
+        for start in range(0, len(batch), SLICE):
+            yield batch.iloc[start : start + SLICE]
